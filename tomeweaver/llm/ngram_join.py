@@ -17,9 +17,9 @@ place for such documents of its class.  Nothing is sampled or capped.
 
 Equal sets are one node.  Within a tree, nodes known to be connected are not
 compared again, and edges go out as stars (node, root).  Places with more than
-``HOT`` nodes are joined without a bound, and what so hangs together is
-verified in blocks of ``BLOCK`` nodes: first each block with shared pivots, then
-all nodes outside the largest component against every block.
+``HOT`` nodes are joined without a bound.  What so hangs together is verified,
+a large component in blocks of about ``BLOCK`` shingles: first each block with
+shared pivots, then all nodes outside the largest part against every block.
 
 Nulls: null text is empty, has no shingles and links with nothing; null doc_id
 stays null (a component of null ids only has a null id).  Fewer than five words
@@ -44,7 +44,7 @@ U = np.uint64
 WORDS = 5
 #: Fixed multipliers of a shingle's words.
 MULTIPLIERS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-RATIO, HOT, BLOCK, PIVOTS, FAN = 1.5, 4096, 512, 4, 32
+RATIO, HOT, BLOCK, PIVOTS, FAN = 1.5, 4096, 2_000_000, 4, 32
 KEY_BYTES = 6
 
 
@@ -120,8 +120,8 @@ def places(x: np.ndarray) -> np.ndarray:
 
 def vector(x: np.ndarray) -> np.ndarray:
     """Counts by group, of a power of two groups that grows with the set."""
-    bits = int(min(max(len(x) // 8, 16), 4096)).bit_length()
-    return np.bincount((x >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+    bits = max(len(x) // 8, 16).bit_length()
+    return np.bincount((x >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
 
 
 def points(vectors: list[np.ndarray]) -> np.ndarray:
@@ -191,15 +191,15 @@ def components(vectors: list[np.ndarray], n: np.ndarray, sets: list[np.ndarray]
 
 
 def _ids(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sid (null for an empty set)."""
+    """doc_id, n_shingles, sid and vec (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, off in tb.slices(b.column(1)):
                 s = shingle_sets(data, off)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(x) for x in s], pa.int64()), pa.array([set_id(x) if len(x) else None for x in s], pa.int64())], ["doc_id", "n_shingles", "sid"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(x) for x in s], pa.int64()), pa.array([set_id(x) if len(x) else None for x in s], pa.int64()), pa.array([vector(x).tobytes() if len(x) else None for x in s], pa.binary())], ["doc_id", "n_shingles", "sid", "vec"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sid long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sid long, vec binary")
 
 
 def _met(docs: DataFrame, parts: int) -> DataFrame:
@@ -292,19 +292,23 @@ def _unpacked(met: DataFrame) -> DataFrame:
     return met.select("gid", "members", "size").mapInArrow(run, "gid long, size long, sid long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, n, vec, hashes (packed) of the wanted (doc_id, sid): the texts of one document each."""
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes(node, doc_id, ...) with n and hashes (packed), from the text of that document."""
+    extra = [c for c in nodes.columns if c not in ("node", "doc_id")]
+    kinds = dict(nodes.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sids = b.column(0).to_pylist()
-            for i, j, data, off in tb.slices(b.column(1)):
-                s = [(k, x) for k, x in zip(sids[i:j], shingle_sets(data, off), strict=True) if len(x) and set_id(x) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in s], pa.int64()), pa.array([len(x) for _, x in s], pa.int64()), pa.array([vector(x).tobytes() for _, x in s], pa.binary()), pa.array([x.tobytes() for _, x in s], pa.binary())], ["sid", "n", "vec", "hashes"])
+            sids = b.column(1).to_pylist()
+            for i, j, data, off in tb.slices(b.column(0)):
+                # another row may have the same id
+                s = [(k, x) for k, x in enumerate(shingle_sets(data, off), i) if len(x) and set_id(x) == sids[k]]
+                own = b.take(pa.array([k for k, _ in s], pa.int64())).columns[1:]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(x) for _, x in s], pa.int64()), pa.array([x.tobytes() for _, x in s], pa.binary())], ["node", *extra, "n", "hashes"])
 
-    w = wanted.select(F.col("doc_id").alias("w_id"), F.col("sid").alias("w_sid"))
-    d = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("w_id"))).select(F.col("w_sid").alias("sid"), "text")
-    return d.mapInArrow(run, "sid long, n long, vec binary, hashes binary").dropDuplicates(["sid"])
+    w = nodes.withColumnRenamed("doc_id", "w_id")
+    d = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "node", *extra)
+    return d.mapInArrow(run, ", ".join(["node long", *(f"{c} {kinds[c]}" for c in extra), "n long", "hashes binary"]))
 
 
 def _stars(sid: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -324,7 +328,7 @@ def _runs(keys: np.ndarray) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(np.diff(keys[order])) + 1)
 
 
-def _candidates(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def _candidates(members: DataFrame, named: DataFrame, parts: int) -> DataFrame:
     """Edges (a, b) of nodes that met and whose bound suffices; all of a place that is hot."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -332,11 +336,11 @@ def _candidates(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
         vec = t.column("vec").to_pylist()
         pairs: set[tuple[int, int]] = set()
         for own in _runs(gid):
-            pairs.update(_stars(sid[own], components([np.frombuffer(vec[k], np.uint32) for k in own.tolist()], n[own])))
+            pairs.update(_stars(sid[own], components([np.frombuffer(vec[k], np.uint16) for k in own.tolist()], n[own])))
         return _edges(pairs)
 
     deal = F.pmod(F.xxhash64("gid"), F.lit(parts)).cast("int")
-    mild = members.where(F.col("size") <= HOT).join(sets.select("sid", "n", "vec"), "sid").withColumn("q", deal)
+    mild = members.where(F.col("size") <= HOT).join(named.select("sid", "n", "vec"), "sid").withColumn("q", deal)
     found = mild.groupBy("q").applyInArrow(run, "a long, b long")
     hot = members.where(F.col("size") > HOT)
     least = hot.groupBy("gid").agg(F.min("sid").alias("b"))
@@ -361,31 +365,34 @@ def connected(edges: DataFrame, label: str) -> DataFrame:
         before = now
 
 
-def _verified(nodes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Edges (a, b) of verified links, as stars; nodes(node, root) are the components of candidates."""
-    size = nodes.groupBy("root").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    n = nodes.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    n = written(n, "ngram-nodes")
-    packed = sets.select(F.col("sid").alias("node"), "n", "vec", "hashes")
+def _verified(docs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """Edges (a, b) of verified links, as stars; nodes(node, root, n, doc_id) are the components of candidates."""
+    size = nodes.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    nodes = nodes.drop("n").join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    nodes = written(nodes, "ngram-nodes")
     deal = lambda *c: F.pmod(F.xxhash64(*c), F.lit(parts)).cast("int")
 
+    def hashes_of(t: pa.Table) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), U) for c in t.column("hashes").chunks for x in c]
+
     def in_block(t: pa.Table) -> pa.Table:
         pairs: set[tuple[int, int]] = set()
-        unit, sid, size_ = (t.column(c).to_numpy() for c in ("unit", "node", "n"))
-        vec, hashes = t.column("vec"), t.column("hashes")
+        unit, sid, n = (t.column(c).to_numpy() for c in ("unit", "node", "n"))
+        hashes = hashes_of(t)
         for own in _runs(unit):
             if len(own) > 1:
-                k = own.tolist()
-                pairs.update(_stars(sid[own], components([np.frombuffer(vec[i].as_py(), np.uint32) for i in k], size_[own], [np.frombuffer(hashes[i].as_py(), U) for i in k])))
+                sets = [hashes[i] for i in own.tolist()]
+                pairs.update(_stars(sid[own], components([vector(x) for x in sets], n[own], sets)))
         return _edges(pairs)
 
-    def units(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("unit", F.xxhash64("root", "block")).withColumn("q", deal("root", "block")).join(packed, "node").select("q", "unit", "node", "n", "vec", "hashes")
-
-    big = n.where("blocks > 1")
+    big = nodes.where("blocks > 1")
     pivots = big.withColumn("r_", F.row_number().over(W.partitionBy("root").orderBy(F.xxhash64("node", F.lit(2)), "node"))).where(F.col("r_") <= PIVOTS)
-    spread = pivots.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").select("root", "node", "blocks", F.col("to").alias("block"))
-    first = written(units(n.select("root", "node", "blocks", "block").unionAll(spread)).groupBy("q").applyInArrow(in_block, "a long, b long"), "ngram-links")
+    # a pivot goes to every block, and is made from its text once
+    spread = nodes.join(pivots.select("node", F.lit(True).alias("pivot")), "node", "left")
+    sets = _sets(docs, spread.select("node", "doc_id", "root", "block", "blocks", F.coalesce("pivot", F.lit(False)).alias("pivot")))
+    to = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    units = sets.withColumn("block", F.explode(to)).withColumn("unit", F.xxhash64("root", "block")).withColumn("q", deal("root", "block"))
+    first = written(units.select("q", "unit", "node", "n", "hashes").groupBy("q").applyInArrow(in_block, "a long, b long"), "ngram-links")
     if big.limit(1).count() == 0:
         return first
     # nodes outside the largest part of a big component meet every block of it
@@ -393,35 +400,40 @@ def _verified(nodes: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     part = big.join(so_far.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
     sizes = part.groupBy("root", "part").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("root").agg(F.max(F.struct("c", "part")).alias("x")).select("root", F.col("x.part").alias("largest"))
-    part = written(part.join(largest, "root"), "ngram-parts")
-    rest = part.where("part <> largest")
-    chunks = rest.groupBy("root").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("chunks"))
-    rest = rest.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
-    a = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "node", "part", "chunk", "block", F.lit(True).alias("asks"))
-    b = part.join(chunks, "root").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("root", "node", "part", "chunk", "block", F.lit(False).alias("asks"))
-    met = a.unionAll(b).withColumn("unit", F.xxhash64("root", "chunk", "block")).withColumn("q", deal("root", "chunk", "block")).join(packed, "node")
+    part = part.join(largest, "root").withColumn("asks", F.col("part") != F.col("largest"))
+    part = written(part, "ngram-parts")
+    rest = part.where("asks")
+    if rest.limit(1).count() == 0:
+        return first
+    # as many chunks as the rest has blocks' worth of nodes
+    chunks = part.groupBy("root").agg(F.ceil(F.count_if("asks") * F.first("blocks") / F.count("*")).cast("int").alias("chunks")).where("chunks > 0")
+    part = part.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
+    sets = _sets(docs, part.select("node", "doc_id", "root", "part", "asks", "block", "blocks", "chunk", "chunks"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asking = sets.where("asks").withColumn("block", F.explode(every("blocks")))
+    asked = sets.withColumn("asks", F.lit(False)).withColumn("chunk", F.explode(every("chunks")))
+    met = asking.unionByName(asked).withColumn("unit", F.xxhash64("root", "chunk", "block")).withColumn("q", deal("root", "chunk", "block"))
 
     def across(t: pa.Table) -> pa.Table:
         pairs: set[tuple[int, int]] = set()
-        unit, sid, size_, part_, asks = (t.column(c).to_numpy() for c in ("unit", "node", "n", "part", "asks"))
-        vec, hashes = t.column("vec"), t.column("hashes")
+        unit, sid, n, part_, asks = (t.column(c).to_numpy() for c in ("unit", "node", "n", "part", "asks"))
+        hashes = hashes_of(t)
         for own in _runs(unit):
             x, y = own[asks[own]], own[~asks[own]]
             if not len(x) or not len(y):
                 continue
-            p = points([np.frombuffer(vec[int(k)].as_py(), np.uint32) for k in [*x, *y]])
-            tree = RTree(p[len(x) :], size_[y])
+            p = points([vector(hashes[k]) for k in [*x.tolist(), *y.tolist()]])
+            tree = RTree(p[len(x) :], n[y])
             joined: set[tuple[int, int]] = set()
             for i, k in enumerate(x.tolist()):
-                mine = np.frombuffer(hashes[k].as_py(), U)
-                for j in tree.search(p[i], int(size_[k])).tolist():
+                for j in tree.search(p[i], int(n[k])).tolist():
                     o = int(y[j])
-                    if part_[o] != part_[k] and (int(part_[k]), int(part_[o])) not in joined and 9 * overlap(mine, np.frombuffer(hashes[o].as_py(), U)) >= needed(int(size_[k]), int(size_[o])):
+                    if part_[o] != part_[k] and (int(part_[k]), int(part_[o])) not in joined and 9 * overlap(hashes[k], hashes[o]) >= needed(int(n[k]), int(n[o])):
                         joined.add((int(part_[k]), int(part_[o])))
                         pairs.add((int(sid[k]), int(sid[o])))
         return _edges(pairs)
 
-    second = met.select("q", "unit", "node", "part", "asks", "n", "vec", "hashes").groupBy("q").applyInArrow(across, "a long, b long")
+    second = met.select("q", "unit", "node", "part", "asks", "n", "hashes").groupBy("q").applyInArrow(across, "a long, b long")
     return first.unionAll(second)
 
 
@@ -431,12 +443,11 @@ def ngram_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     rows = written(_ids(docs), "ngram-ids")
     met = written(_met(docs, parts), "ngram-met")
     members = _unpacked(met)
-    named = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = named.join(members.select("sid").distinct(), "sid")
-    sets = written(_sets(docs, wanted), "ngram-sets")
-    nodes = connected(_candidates(members, sets, parts), "ngram-candidates")
-    labels = connected(_verified(nodes, sets, parts), "ngram-components")
-    r = rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
+    named = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("vec").alias("vec"))
+    roots = connected(_candidates(members, named, parts), "ngram-candidates")
+    nodes = roots.join(named.select(F.col("sid").alias("node"), "doc_id", "n"), "node")
+    labels = connected(_verified(docs, nodes, parts), "ngram-components")
+    r = rows.drop("vec").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
     least = r.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
     out = r.join(least, "label", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
