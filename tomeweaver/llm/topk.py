@@ -125,6 +125,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
 
     def joined(q: DataFrame, x: DataFrame) -> DataFrame:
         x = x.withColumn("block", every)
+        # one table stands on both sides: rename, so that its columns are told apart
+        q, x = q.select(*(F.col(c).alias(c) for c in q.columns)), x.select(*(F.col(c).alias(c) for c in x.columns))
         return q.groupBy("dim", "block", "shard").cogroup(x.groupBy("dim", "block", "shard")).applyInPandas(_searcher(k), HIT)
 
     seed = written(joined(qs.withColumn("shard", F.lit(0)).withColumn("low", F.lit(NEVER)), xs.where("shard = 0")), "topk-seed")
