@@ -4,27 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tomeweaver.llm import language_id, mixing, ngram_join, packing, toxicity
 from tomeweaver.llm.queries import table
 from tomeweaver.llm.store import written
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, gone: str) -> DataFrame:
-    """docs without the rows that a stage rejects.  Rows that share an id stay if one of them does."""
-    bad = verdicts.groupBy("doc_id").agg(F.min(F.expr(gone).cast("int")).alias("bad_")).where("bad_ = 1").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs)
-    return _kept(docs, language_id.language_id(docs, model), "rejected")
+    return language_id.without_rejected(docs, model)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, toxicity.toxicity(docs, model), "predicted = 1")
+    return toxicity.without_toxic(docs, model)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

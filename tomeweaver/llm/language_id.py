@@ -135,6 +135,17 @@ def predict(counts: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, n
     return lang, 1 / e.sum(1), best.max(1)
 
 
+def verdicts(texts: pa.Array, data: np.ndarray, off: np.ndarray, model: Model) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, confidence, similarity and rejection of each text."""
+    ok = np.array([has_letter(t) for t in texts.to_pylist()], bool)
+    n = len(ok)
+    if not model.langs:
+        return ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
+    lang, score, sim = predict(count_matrix(data, off), model)
+    name = [model.langs[k] if g else "und" for k, g in zip(lang.tolist(), ok.tolist(), strict=True)]
+    return name, np.where(ok, score, 0.0), np.clip(sim, 0, 1).astype(float), ~ok | (sim < model.floor[lang])
+
+
 SCHEMA = "doc_id long, lang_pred string, score double, similarity double, rejected boolean"
 
 
@@ -144,14 +155,19 @@ def language_id(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, off in tb.slices(b.column(1)):
-                ok = np.array([has_letter(t) for t in b.column(1).slice(i, j - i).to_pylist()], bool)
-                n = j - i
-                if model.langs:
-                    lang, score, sim = predict(count_matrix(data, off), model)
-                    rejected = ~ok | (sim < model.floor[lang])
-                    name = [model.langs[k] if g else "und" for k, g in zip(lang.tolist(), ok.tolist(), strict=True)]
-                else:
-                    name, score, sim, rejected = ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n).cast(pa.int64()), pa.array(name, pa.string()), pa.array(np.where(ok, score, 0.0), pa.float64()), pa.array(np.clip(sim, 0, 1).astype(float), pa.float64()), pa.array(rejected)], ["doc_id", "lang_pred", "score", "similarity", "rejected"])
+                name, score, sim, rejected = verdicts(b.column(1).slice(i, j - i), data, off, model)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(sim, pa.float64()), pa.array(rejected)], ["doc_id", "lang_pred", "score", "similarity", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def without_rejected(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is not rejected."""
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, off in tb.slices(b.column(text)):
+                yield b.slice(i, j - i).filter(pa.array(~verdicts(b.column(text).slice(i, j - i), data, off, model)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
