@@ -1,19 +1,339 @@
-"""Queries over the driver's tables and their equivalents in DuckDB's SQL."""
+"""Queries over the driver's tables and their equivalents in DuckDB's SQL.
+
+Doubles are rounded on both sides, since sums are taken in different orders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import language, metadata, text
+from ..operators import index, pagerank, recommend, search, similarity
+from ..sources import catalog, corpus
+from ..sources.corpus import STOP_WORDS, Similarity, books, table
+from ..sources.store import written
+
+WORD, REGEX, TERM = "the", "m(an|en)", "thing"
+MIN_WORDS, PREFIX = 500, 300
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books(table(spark, sf_dir, "documents"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.postings(_books(spark, sf_dir).select("id", "text"))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = written(_index(spark, sf_dir), "postings")
+    return similarity.feature_postings(posts, similarity.eligible_terms(posts))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = written(_features(spark, sf_dir), "features")
+    return similarity.scored_pairs(similarity.pair_intersections(f), similarity.feature_counts(f))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(similarity.build_graph(written(_index(spark, sf_dir), "postings")), "edges")
+
+
+def _ranks(spark: SparkSession, sf_dir: str, edges: DataFrame, **settings) -> pagerank.Result:
+    nodes = _books(spark, sf_dir).select(F.col("id").alias("book_id"))
+    return pagerank.pagerank(nodes, edges.select("a", "b", F.col("score").alias("weight")), corpus.Ranking(**settings))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    posts = written(_index(spark, sf_dir), "postings")
+    edges = written(similarity.build_graph(posts), "edges")
+    found = search.lexical(posts, search.contains(F.col("term"), WORD))
+    return search.ranked(found, _books(spark, sf_dir), _ranks(spark, sf_dir, edges).scores), edges
+
+
+def _seeds(rows: DataFrame) -> DataFrame:
+    top = search.in_order(rows).limit(3)
+    w = W.partitionBy(F.lit(0)).orderBy(F.desc("final_score"), F.desc("lexical_score"), F.desc("matched_terms"), F.lower("title"), "book_id")
+    return top.select("book_id", "title", F.row_number().over(w).alias("search_rank"), "final_score")
+
+
+def _flat(suggested: DataFrame) -> DataFrame:
+    """A row for each reason."""
+    s = suggested.select("book_id", F.round("score", 9).alias("score"), F.round("best_jaccard", 9).alias("best_jaccard"), "supporting_seeds", F.explode("reasons").alias("x"))
+    return s.select("book_id", "score", "best_jaccard", "supporting_seeds", F.col("x.seed_id").alias("seed_id"), F.round("x.contribution", 9).alias("contribution"))
+
+
+def canonical_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.canonical(F.col("text")), 256).alias("canonical_sha"))
+
+
+def tokenize(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("position", "token"))
+    return t.select("doc_id", F.col("position").cast("bigint").alias("position"), "token")
+
+
+def term_frequencies(spark, sf_dir):
+    return _index(spark, sf_dir)
+
+
+def document_frequency(spark, sf_dir):
+    return index.document_frequency(_index(spark, sf_dir))
+
+
+def book_index_stats(spark, sf_dir):
+    return index.stats(_index(spark, sf_dir))
+
+
+def word_counts(spark, sf_dir):
+    return _books(spark, sf_dir).select("id", "word_count")
+
+
+def min_word_gate(spark, sf_dir):
+    return catalog.too_short(_books(spark, sf_dir), MIN_WORDS).select("id", "word_count")
+
+
+def doc_fingerprint(spark, sf_dir):
+    return _books(spark, sf_dir).select("storage_key", "content_bytes", "content_sha256")
+
+
+def postings_for_term(spark, sf_dir):
+    return index.postings_for(_index(spark, sf_dir), TERM)
+
+
+def kmp_term_match(spark, sf_dir):
+    return index.document_frequency(_index(spark, sf_dir)).where(search.contains(F.col("term"), "Man")).select("term")
+
+
+def regex_term_match(spark, sf_dir):
+    return index.document_frequency(_index(spark, sf_dir)).where(search.matches(spark, F.col("term"), REGEX)).select("term")
+
+
+def simple_search_lexical(spark, sf_dir):
+    return search.lexical(_index(spark, sf_dir), search.contains(F.col("term"), WORD))
+
+
+def regex_search_lexical(spark, sf_dir):
+    return search.lexical(_index(spark, sf_dir), search.matches(spark, F.col("term"), REGEX))
+
+
+def simple_search_page2(spark, sf_dir):
+    rows = search.ranked(search.lexical(_index(spark, sf_dir), search.contains(F.col("term"), WORD)), _books(spark, sf_dir))
+    return search.page_of(rows, 1, 20).select("book_id", "title", "lexical_score", "matched_terms", F.round("final_score", 9).alias("final_score"))
+
+
+def simple_search_ranked(spark, sf_dir):
+    rows, _ = _ranked(spark, sf_dir)
+    return rows.select("book_id", "lexical_score", "matched_terms", F.round("normalized_lexical", 9).alias("normalized_lexical"), F.round("normalized_pagerank", 6).alias("normalized_pagerank"), F.round("final_score", 6).alias("final_score"))
+
+
+def eligible_terms(spark, sf_dir):
+    return similarity.eligible_terms(written(_index(spark, sf_dir), "postings"))
+
+
+def feature_counts(spark, sf_dir):
+    return similarity.feature_counts(_features(spark, sf_dir))
+
+
+def pair_intersections(spark, sf_dir):
+    return similarity.pair_intersections(_features(spark, sf_dir))
+
+
+def jaccard_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("a", "b", F.round("score", 12).alias("score"), "shared", "union_size")
+
+
+def similarity_edges(spark, sf_dir):
+    return _edges(spark, sf_dir).select("a", "b", F.round("score", 12).alias("score"), "shared", "union_size")
+
+
+def similarity_rebuild_stats(spark, sf_dir):
+    p = written(_pairs(spark, sf_dir), "pairs")
+    all_ = p.agg(F.count("*").alias("candidates"), F.count_if(F.col("score") >= Similarity().min_score).alias("qualifying"))
+    return all_.crossJoin(similarity.top_edges(p).agg(F.count("*").alias("stored")))  # one row each
+
+
+def weighted_degree(spark, sf_dir):
+    e = similarity.both_ways(_edges(spark, sf_dir)).select("src", F.col("score").alias("weight"))
+    return pagerank.weighted_degree(e).select(F.col("src").alias("book_id"), F.round("degree", 9).alias("degree"))
+
+
+def neighbors_of_book(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    return similarity.neighbors(e, 1, 20).select("book_id", F.round("score", 12).alias("score"), "shared", "union_size")
+
+
+def jaccard_prefix_300(spark, sf_dir):
+    """The scalability run of the benchmark: books below an id, a parameter of that run."""
+    posts = written(_index(spark, sf_dir).where(F.col("book_id") < PREFIX), "postings")
+    return similarity.build_graph(posts).select("a", "b", F.round("score", 12).alias("score"), "shared", "union_size")
+
+
+def similarity_status(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    ends = e.select(F.explode(F.array("a", "b")).alias("n")).agg(F.countDistinct("n").alias("connected_books"))
+    return e.agg(F.count("*").alias("edges")).crossJoin(ends)  # one row each
+
+
+def pagerank_10_iters(spark, sf_dir):
+    r = _ranks(spark, sf_dir, _edges(spark, sf_dir), max_iterations=10).scores
+    return r.select("book_id", F.round("score", 10).alias("score"))
+
+
+def pagerank_scores(spark, sf_dir):
+    return _ranks(spark, sf_dir, _edges(spark, sf_dir)).scores.select("book_id", F.round("score", 8).alias("score"))
+
+
+def pagerank_top(spark, sf_dir):
+    r = _ranks(spark, sf_dir, _edges(spark, sf_dir), max_iterations=10).scores
+    return pagerank.top(r, _books(spark, sf_dir), 20).select("book_id", "title", F.round("score", 10).alias("score"))
+
+
+def pagerank_stats(spark, sf_dir):
+    s = pagerank.stats(_ranks(spark, sf_dir, _edges(spark, sf_dir), max_iterations=10).scores)
+    return s.select("nodes", *(F.round(c, 9).alias(c) for c in ("score_sum", "score_min", "score_max")))
+
+
+def pagerank_convergence(spark, sf_dir):
+    deltas = _ranks(spark, sf_dir, _edges(spark, sf_dir), max_iterations=20, tolerance=1e-300).deltas
+    return spark.createDataFrame([(i, round(d, 9)) for i, d in enumerate(deltas, 1)], "iteration int, delta double")
+
+
+def search_suggestions(spark, sf_dir):
+    rows, edges = _ranked(spark, sf_dir)
+    return _flat(recommend.suggestions(written(_seeds(rows), "seeds"), edges, _books(spark, sf_dir)))
+
+
+def regex_suggestions(spark, sf_dir):
+    posts = written(_index(spark, sf_dir), "postings")
+    rows = search.ranked(search.lexical(posts, search.matches(spark, F.col("term"), REGEX)), _books(spark, sf_dir))
+    return _flat(recommend.suggestions(written(_seeds(rows), "seeds"), written(similarity.build_graph(posts), "edges"), _books(spark, sf_dir)))
+
+
+def book_suggestions(spark, sf_dir):
+    return _flat(recommend.for_book(_books(spark, sf_dir), _edges(spark, sf_dir), 1))
+
+
+def _bench_terms(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    return words.where((F.length("term") >= 3) & ~F.col("term").isin(*STOP_WORDS))
+
+
+def zipf_top1000(spark, sf_dir):
+    c = _bench_terms(spark, sf_dir).groupBy("term").agg(F.count("*").alias("frequency")).orderBy(F.desc("frequency"), "term").limit(1000)
+    return c.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("frequency"), "term")))
+
+
+def bench_features(spark, sf_dir):
+    return _bench_terms(spark, sf_dir).groupBy("book_id", "term").agg(F.count("*").alias("n")).where("n >= 2").groupBy("book_id").agg(F.count("*").alias("features"))
+
+
+def _part_index(spark, sf_dir):
+    """As if only books whose id is no multiple of 5 were indexed: the state that these queries need."""
+    return _index(spark, sf_dir).where(F.col("book_id") % 5 != 0)
+
+
+def indexed_books(spark, sf_dir):
+    return index.indexed(_books(spark, sf_dir), _part_index(spark, sf_dir)).select("id", "title")
+
+
+def pending_books(spark, sf_dir):
+    return index.pending(_books(spark, sf_dir), _part_index(spark, sf_dir), 50).select("id", "title")
+
+
+def indexing_status(spark, sf_dir):
+    return index.status(_books(spark, sf_dir), written(_part_index(spark, sf_dir), "postings"))
+
+
+def list_books(spark, sf_dir):
+    return _books(spark, sf_dir).orderBy("id").limit(20).select("id", "title", "author", "language", "word_count", "source_url", "status")
+
+
+def _changed(spark, sf_dir):
+    """Old and new postings: in the new ones every text has lost its words 'the' and gained 'added'."""
+    b = _books(spark, sf_dir).select("id", "text")
+    new = b.withColumn("text", F.concat(F.regexp_replace(F.lower("text"), "\\bthe\\b", " "), F.lit(" added")))
+    return index.postings(b), index.postings(new)
+
+
+def term_set_difference(spark, sf_dir):
+    return index.term_changes(*_changed(spark, sf_dir))
+
+
+def df_delta(spark, sf_dir):
+    old, new = _changed(spark, sf_dir)
+    c = written(index.term_changes(old, new), "changes")
+    return index.changed_frequency(index.document_frequency(old), c.where("change = 'added'"), c.where("change = 'removed'"))
+
+
+def filename_label(spark, sf_dir):
+    return _books(spark, sf_dir).select("storage_key", metadata.filename_label(F.col("storage_key")).alias("label"))
+
+
+def basename_of_path(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", catalog.basename(F.col("url")).alias("basename"))
+
+
+def _catalog(spark, sf_dir):
+    """A catalogue and the books before it: some keys are new, some gone, some titles and texts differ."""
+    cols = [*catalog.COLUMNS, "content_sha256"]
+    b = _books(spark, sf_dir)
+    new = b.where("id % 7 <> 1").withColumn("title", F.when(F.col("id") % 11 == 0, F.concat("title", F.lit(" rev"))).otherwise(F.col("title"))).select(*cols)
+    old = b.where("id % 7 <> 2").withColumn("content_sha256", F.when(F.col("id") % 13 == 0, F.lit("0")).otherwise(F.col("content_sha256"))).select(*cols)
+    return old, new
+
+
+def catalog_sync_diff(spark, sf_dir):
+    return catalog.sync_diff(*_catalog(spark, sf_dir))
+
+
+def catalog_sync_counts(spark, sf_dir):
+    return catalog.sync_counts(catalog.sync_diff(*_catalog(spark, sf_dir), prune=True))
+
+
+def catalog_merge(spark, sf_dir):
+    b = _books(spark, sf_dir)
+    old = b.where("id % 3 <> 0").select("storage_key", F.when(F.col("id") % 2 == 0, F.concat(F.lit("Own "), "title")).otherwise(F.col("title")).alias("title"), F.when(F.col("id") % 5 == 0, F.lit("Somebody")).alias("author"), F.lit("").alias("language"), "source_url")
+    new = b.select("storage_key", F.concat(F.lit("Found "), "title").alias("title"), F.lit("Anon").alias("author"), "language", "source_url")
+    return catalog.merged(new, old, limit=0)
+
+
+def detect_language(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", language.detect(F.col("text")).alias("detected"))
+
+
+def language_code(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang").distinct()
+    return language.with_code(d, "lang", language.language_codes(spark))
+
+
+def metadata_extract(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    content = F.concat(F.lit("Title: A "), F.col("doc_id").cast("string"), F.lit("\nAuthor: B\n\n"), F.coalesce("text", F.lit(""))).cast("binary")
+    return d.select("doc_id", metadata.extract(content).alias("m")).select("doc_id", "m.title", "m.author")
+
+
+_RUNS = [
+    canonical_text, tokenize, term_frequencies, document_frequency, book_index_stats, word_counts, min_word_gate, doc_fingerprint, postings_for_term, kmp_term_match, regex_term_match, simple_search_lexical, regex_search_lexical,
+    simple_search_page2, simple_search_ranked, eligible_terms, feature_counts, pair_intersections, jaccard_pairs, similarity_edges, similarity_rebuild_stats, weighted_degree, neighbors_of_book, jaccard_prefix_300, similarity_status,
+    pagerank_10_iters, pagerank_scores, pagerank_top, pagerank_stats, pagerank_convergence, search_suggestions, regex_suggestions, book_suggestions, zipf_top1000, bench_features, indexed_books, pending_books, indexing_status,
+    list_books, term_set_difference, df_delta, filename_label, basename_of_path, catalog_sync_diff, catalog_sync_counts, catalog_merge, detect_language, language_code, metadata_extract,
+]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    rows = search.ranked(search.lexical(_index(spark, sf_dir), search.contains(F.col("term"), WORD)), _books(spark, sf_dir))
+    return search.page_of(rows, 0, 20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _RUNS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import ORACLES
+
+    return dict(ORACLES)
