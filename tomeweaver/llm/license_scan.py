@@ -1,9 +1,10 @@
 """Licence scan by a positional rare-token index.
 
 Every template (a base phrase or the opening of a licence notice) is a word
-sequence.  The index holds postings only for each template's rarest words, by
-inverse document frequency over all scanned documents.  A document's rare
-licence words are looked up; a posting at template position q met at document
+sequence, and the index holds the postings of its words with their inverse
+document frequency over all scanned documents.  Of the documents that hold the
+rarest word of a template's key phrase, the rarest words that they share with the
+template are looked up; a posting at template position q met at document
 position p votes for the alignment p - q; alignments on which enough postings
 agree are kept if the template's mandatory key phrases stand there.  Base
 phrases are their own key phrase, so their places are exact.
@@ -46,7 +47,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
 
-#: Rare words indexed for each template, and how many of its postings must agree on an alignment.
+#: Rare words of a document that are looked up in a template, and how many postings must agree on an alignment.
 ANCHORS, AGREE = 4, 2
 
 
@@ -96,8 +97,10 @@ def build_index(df: dict[int, int], n: int) -> list[dict]:
     idf = lambda w: math.log((n + 1) / (df.get(at[w], 0) + 1))
     out = []
     for label, ws, keys, exact in templates():
-        rare = sorted(set(ws), key=lambda w: (-idf(w), w))[: 1 if exact else ANCHORS]
-        out.append({"label": label, "words": [at[w] for w in ws], "keys": [[at[w] for w in k] for k in keys], "exact": exact, "postings": [(at[w], q) for q, w in enumerate(ws) if w in rare], "votes": 1 if exact else min(AGREE, len(rare)), "idf": [idf(w) for w in ws]})
+        rare = sorted(set(ws), key=lambda w: (-idf(w), w))
+        key = min(keys[0], key=lambda w: (-idf(w), w))
+        postings = [(at[w], q, rare.index(w)) for q, w in enumerate(ws) if not exact or w == key]
+        out.append({"label": label, "words": [at[w] for w in ws], "keys": [[at[w] for w in k] for k in keys], "key": at[key], "exact": exact, "postings": postings, "votes": 1 if exact else AGREE, "idf": [idf(w) for w in ws]})
     return out
 
 
@@ -119,12 +122,25 @@ def scan_slice(data: np.ndarray, off: np.ndarray, index: list[dict], table: np.n
     by_word = {w: hits[wid[hits] == w] for w in np.unique(wid[hits])}
     none = np.zeros(0, np.int64)
     for t in index:
-        votes = [by_word.get(w, none) - q for w, q in t["postings"]]
-        # an alignment may begin before the text (a notice cut at its head), so a vote carries its document
-        docs = [np.searchsorted(first, by_word.get(w, none), "right") - 1 for w, _ in t["postings"]]
-        at, doc = np.concatenate(votes), np.concatenate(docs)
-        if not len(at):
+        if t["key"] not in by_word:
             continue
+        holders = np.unique(np.searchsorted(first, by_word[t["key"]], "right") - 1)
+        # an alignment may begin before the text (a notice cut at its head), so a vote carries its document
+        doc, at, rank = [], [], []
+        for w, q, r in t["postings"]:
+            p = by_word.get(w, none)
+            d = np.searchsorted(first, p, "right") - 1
+            own = np.isin(d, holders)
+            doc.append(d[own])
+            at.append(p[own] - q)
+            rank.append(np.full(int(own.sum()), r))
+        doc, at, rank = np.concatenate(doc), np.concatenate(at), np.concatenate(rank)
+        if not t["exact"]:  # of each document, its rarest words only
+            some = np.unique(np.stack([doc, rank]), axis=1)
+            nth = np.arange(some.shape[1]) - np.searchsorted(some[0], some[0])
+            some = some[:, nth < ANCHORS]
+            use = np.isin(doc * len(VOCABULARY) + rank, some[0] * len(VOCABULARY) + some[1])
+            doc, at = doc[use], at[use]
         pairs, counts = np.unique(np.stack([doc, at]), axis=1, return_counts=True)
         doc, at = pairs[:, counts >= t["votes"]]
         if not len(at):
