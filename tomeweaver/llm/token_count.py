@@ -54,9 +54,10 @@ class Counter:
         return len(self.sp.encode(text))
 
     def merge(self, units: list[str]) -> list[int]:
-        """Tokens of units by the library.  A unit without a leading space follows a line break."""
-        texts = [u[1:] if u[0] == " " else "\n" + u for u in units]
-        return [len(ids) - (0 if u[0] == " " else self.line_base) for u, ids in zip(units, self.sp.encode(texts, num_threads=1), strict=True)]
+        """Tokens of units by the library.  It puts a space before a text, so a unit without one, or of spaces alone, goes behind a line break."""
+        plain = [u[0] == " " and u.strip(" ") != "" for u in units]
+        texts = [u[1:] if p else "\n" + u for p, u in zip(plain, units, strict=True)]
+        return [len(ids) - (0 if p else self.line_base) for p, ids in zip(plain, self.sp.encode(texts, num_threads=1), strict=True)]
 
     def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
