@@ -447,8 +447,9 @@ def ngram_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     roots = connected(_candidates(members, named, parts), "ngram-candidates")
     nodes = roots.join(named.select(F.col("sid").alias("node"), "doc_id", "n"), "node")
     labels = connected(_verified(docs, nodes, parts), "ngram-components")
-    r = rows.drop("vec").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid"))
-    least = r.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
+    r = written(rows.drop("vec").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid")), "ngram-labels")
+    # both are tables, so that the join of a hot component's rows can be split
+    least = written(r.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least")), "ngram-least")
     out = r.join(least, "label", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
