@@ -29,7 +29,7 @@ DIMS = 4096
 #: Bound on the labelled sample, in texts of each language, and centroids of each language.
 SAMPLE_PER_LANG, CENTROIDS = 400, 4
 #: A text is rejected under this share of the lowest training cosine.
-MARGIN = 0.5
+MARGIN = 0.25
 #: Letters to bytes: ASCII letters lower-cased, bytes of other characters as they are, all else a space.
 LETTER = np.full(256, 0x20, np.uint8)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
