@@ -23,10 +23,10 @@ def detect(text: Column, words: dict[str, str] | None = None) -> Column:
     """The language code, or null where the text does not show one."""
     lists = words or WORDS
     sample = F.when(F.length(text) > LONG, F.substring(text, SKIP + 1, 2**31 - 1)).otherwise(F.coalesce(text, F.lit("")))
-    count = lambda s, p: F.regexp_count(s, F.lit(p))
+    count = lambda s, p: F.length(s) - F.length(F.regexp_replace(s, p + "+", ""))  # noqa: E731  characters of the class p
 
     def scored(s: Column) -> Column:
-        letters = count(s, "\\p{L}")
+        letters = F.length(F.regexp_replace(s, "\\P{L}+", ""))
         kana = count(s, "[[\\p{IsHiragana}\\p{IsKatakana}]&&\\p{L}]")
         script = F.when((kana >= 20) & (kana > letters * 0.05), F.lit("ja"))
         for name, code in SCRIPTS.items():

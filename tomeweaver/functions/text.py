@@ -37,10 +37,14 @@ def folds() -> tuple[dict[str, str], dict[str, str]]:
 def canonical(text: Column) -> Column:
     """Lower-cased text without accents; null is empty.  Exact for characters of the Latin blocks; ``canonical_exact`` for all."""
     one, many = folds()
-    c = F.translate(F.coalesce(text, F.lit("")), "".join(one), "".join(one.values()))
+    t = F.coalesce(text, F.lit(""))
+    longer = t
     for k, v in many.items():
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return F.lower(F.regexp_replace(c, "\\p{M}+", ""))
+        longer = F.replace(longer, F.lit(k), F.lit(v))
+    # most texts need neither step, and a test for that is cheap
+    c = F.when(t.rlike("[" + "".join(many) + "]"), longer).otherwise(t)
+    folded = F.regexp_replace(F.translate(c, "".join(one), "".join(one.values())), "\\p{M}+", "")
+    return F.lower(F.when(t.rlike("[^\\x00-\\x7F]"), folded).otherwise(t))
 
 
 def canonical_text(text: str | None) -> str:
