@@ -230,13 +230,13 @@ def _met(docs: DataFrame, parts: int) -> DataFrame:
             for _, _, data, off in tb.slices(b.column(0)):
                 for x in shingle_sets(data, off):
                     if len(x) and (sid := set_id(x)) not in seen:
-                        if len(seen) > 1_000_000:  # equal sets may go out again after this, and are told apart later
+                        if len(seen) > 200_000:  # equal sets may go out again after this, and are told apart later
                             seen.clear()
                         seen.add(sid)
                         keys.append(places(x))
                         ids.append(sid)
                         held += len(keys[-1])
-                if held > 1_500_000:
+                if held > 750_000:
                     yield from flush(keys, ids)
                     keys, ids, held = [], [], 0
         yield from flush(keys, ids)

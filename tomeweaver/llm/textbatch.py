@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 U = np.uint64
 P = 0x9E3779B97F4A7C15 | 1
 P_INV = pow(P, -1, 1 << 64)
