@@ -234,6 +234,39 @@ def test_training_lowers_the_loss():
     assert losses[-1] < 0.6 * losses[0]
 
 
+def test_every_task_trains_and_the_average_is_the_same_again(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FAN", 3)  # so that eight tasks' networks are averaged in two levels
+    monkeypatch.setattr(lm_score, "TASK_LANES", 4)  # so that a small table makes many steps
+    words = ["a", "b", "c", "d"]
+    hashes = np.array([tb.hash_of(w) for w in words], np.uint64)
+    rows = spark.createDataFrame([(" ".join(words * (20 + k % 5)),) for k in range(400)] + [(None,), ("",), ("zzz",)], "text string").repartition(8).select("text", F.lit(1).alias("w"))
+    rows = lm_score.written(rows, "rows")
+    net = lm_score.new_network(np.array([30, 30, 30, 30]), 1, 1)
+    before = [p.copy() for p in net.params]
+    got, again = (lm_score.train_everywhere(rows, net, hashes) for _ in range(2))
+    assert all((a == b).all() for a, b in zip(net.params, before, strict=True))  # the start is left as it was
+    assert all((a == b).all() for a, b in zip(got.params, again.params, strict=True))
+    doc = np.append(np.tile([2, 3, 4, 5], 20), lm_score.END)
+    score = lambda n: float(lm_score.score_documents(n, doc, np.array([0, len(doc)]))[0])
+    assert score(got) > 0.9 * score(net)
+    assert lm_score.unpacked_network(lm_score.packed_network(got), net).x.shape == got.x.shape
+    assert lm_score.train_everywhere(rows.limit(0), net, hashes) is net
+
+
+def test_training_uses_every_token():
+    net = lm_score.new_network(np.array([30, 30]), 1, 1)
+    seen = []
+    net_grads = lm_score.gradients
+    docs = [np.array([2] * 1000), np.array([3] * 7), np.zeros(0, np.int64)]
+    try:
+        lm_score.gradients = lambda n, prev, target, h, fresh: (seen.append(target.ravel()), net_grads(n, prev, target, h, fresh))[1]
+        lm_score.train_network(net, docs, epochs=1, lanes=8)
+    finally:
+        lm_score.gradients = net_grads
+    c = np.bincount(np.concatenate(seen))
+    assert c[2] >= 1000 and c[3] == 7 and c[lm_score.END] == 3 and c.sum() < 1010 + 8
+
+
 def test_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 

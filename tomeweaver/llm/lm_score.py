@@ -6,9 +6,12 @@ counts are dealt by hash and summed.  The most frequent words are the model's
 vocabulary; every other word is the token "unknown", and its own share among
 the unknown comes from its count (add one), so the model is a distribution over
 all words.  The network is a GRU whose output softmax is factored into classes
-of words of like frequency, trained in numpy by truncated backpropagation on a
-bounded sample of training documents.  When scoring, the state is carried from
-window to window to a document's end, so a score is the whole document's.
+of words of like frequency, trained in numpy by truncated backpropagation.  A
+bounded sample gives all tasks the same start; from there every task trains on
+all of its own training documents, and the tasks' parameters are averaged by
+tokens, in a tree of ``FAN`` a group, so that no task holds more than so many.
+When scoring, the state is carried from window to window to a document's end,
+so a score is the whole document's.
 
 Counts of the ``FREQUENT`` most frequent words go to all tasks (a bounded
 table); tokens of other words are dealt by hash in packed blocks to where their
@@ -36,8 +39,10 @@ from .store import shuffle_partitions, written
 U = np.uint64
 #: Words whose counts every task holds; words of the network; words of a class; hidden units.
 FREQUENT, VOCABULARY, CLASS, HIDDEN = 65536, 992, 32, 16
-#: Bound on the sample of training documents for the network; passes over it; lanes and steps of a window.
+#: Bound on the sample of training documents that the network starts from; passes over it; lanes and steps of a window.
 SAMPLE, EPOCHS, LANES, WINDOW = 800, 2, 64, 32
+#: Of a task's pass over all its training documents: lanes, first rate, tokens trained on at a time; networks averaged at a time.
+TASK_LANES, TASK_RATE, TASK_TOKENS, FAN = 256, 0.005, 1 << 17, 32
 END, UNKNOWN, SPECIAL = 0, 1, 2
 SLICE = 4 << 20
 FLUSH = 3_000_000
@@ -210,57 +215,115 @@ def gradients(net: Network, prev: np.ndarray, target: np.ndarray, h: np.ndarray,
         dww[k], dbw[k] = flat[own].T @ q, q.sum(0)
         dflat[own] += q @ net.ww[k].T
     dhs = dflat.reshape(steps, -1, n)
-    dx, du = np.zeros_like(net.x), np.zeros_like(net.u)
     dh = np.zeros_like(h)
+    dgates, das = [None] * steps, [None] * steps
     for t in reversed(range(steps)):
         h0, z, r, c, a = kept[t]
         dh = dh + dhs[t]
         dc = dh * (1 - z) * (1 - c * c)
         dz = dh * (h0 - c) * z * (1 - z)
         dr = dc * a * r * (1 - r)
-        da = np.concatenate([dz, dr, dc * r], 1)
-        np.add.at(dx, prev[t], np.concatenate([dz, dr, dc], 1))
-        du += h0.T @ da
-        dh = (dh * z + da @ net.u.T) * ~fresh[t][:, None]
+        dgates[t], das[t] = np.concatenate([dz, dr, dc], 1), np.concatenate([dz, dr, dc * r], 1)
+        dh = (dh * z + das[t] @ net.u.T) * ~fresh[t][:, None]
+    du = np.concatenate([k[0] for k in kept]).T @ np.concatenate(das)
+    dx = np.zeros_like(net.x)
+    order = np.argsort(prev.ravel(), kind="stable")
+    begin = np.flatnonzero(np.diff(prev.ravel()[order], prepend=-1))
+    dx[prev.ravel()[order[begin]]] = np.add.reduceat(np.concatenate(dgates)[order], begin)
     return [dx, du, dwc, dbc, dww, dbw], h, float(loss) / m
 
 
-def train_network(net: Network, docs: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.01) -> list[float]:
-    """Adam over windows of lanes; documents stand one behind the other in a lane and each begins with a fresh state."""
-    docs = [np.append(d, END) for d in docs]
+class Adam:
+    """Steps of Adam on a network's parameters; gradients are held at norm 1, the rate falls with the square root of steps / ``slow``."""
+
+    def __init__(self, net: Network, rate: float, slow: float = float("inf")):
+        self.net, self.rate, self.slow, self.n = net, rate, slow, 0
+        self.m, self.v = [np.zeros_like(p) for p in net.params], [np.zeros_like(p) for p in net.params]
+
+    def step(self, grads: list[np.ndarray]) -> None:
+        self.n += 1
+        rate = self.rate / (1 + self.n / self.slow) ** 0.5
+        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
+        for p, g, a, b in zip(self.net.params, grads, self.m, self.v, strict=True):
+            g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            a += 0.1 * (g - a)
+            b += 0.001 * (g * g - b)
+            p -= (rate * a / (1 - 0.9**self.n) / (np.sqrt(b / (1 - 0.999**self.n)) + 1e-8)).astype(np.float32)
+
+
+def train_network(net: Network, docs: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.01, lanes: int = LANES, adam: Adam | None = None) -> list[float]:
+    """Windows of lanes: the documents stand one behind the other in a stream that lanes share evenly; a state is carried from window to window and each document begins with a fresh one."""
     if not docs:
         return []
-    lanes = min(LANES, len(docs))
-    load, rows = [0] * lanes, [[] for _ in range(lanes)]
-    for d in sorted(docs, key=len, reverse=True):
-        k = load.index(min(load))
-        rows[k].append(d)
-        load[k] += len(d)
-    steps = max(min(load) // WINDOW, 1) * WINDOW
-    target = np.zeros((steps, lanes), np.int64)
-    prev, fresh = np.zeros_like(target), np.zeros(target.shape, bool)
-    for k, r in enumerate(rows):
-        flat = np.concatenate(r)
-        flat = np.tile(flat, -(-steps // len(flat)))[:steps]
-        target[:, k] = flat
-        prev[1:, k] = flat[:-1]
-    fresh[:] = prev == END
-    m, v, n, losses = [np.zeros_like(p) for p in net.params], [np.zeros_like(p) for p in net.params], 0, []
+    stream = np.concatenate([x for d in docs for x in (d, [END])]).astype(np.int64)
+    lanes = min(lanes, max(1, len(stream) // WINDOW))
+    steps = -(-len(stream) // lanes)
+    # the last lane is filled from the stream's start
+    target = np.resize(stream, lanes * steps).reshape(lanes, steps).T
+    prev = np.resize(np.concatenate([[END], stream[:-1]]), lanes * steps).reshape(lanes, steps).T
+    fresh = prev == END
+    adam, losses = adam or Adam(net, rate), []
     for _ in range(epochs):
-        h = np.zeros((lanes, net.u.shape[0]), np.float32)
+        h = np.zeros((lanes, net.u.shape[0]), net.u.dtype)
         for s in range(0, steps, WINDOW):
             grads, h, loss = gradients(net, prev[s : s + WINDOW], target[s : s + WINDOW], h, fresh[s : s + WINDOW])
             losses.append(loss)
-            n += 1
-            norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
-            for p, g, a, b in zip(net.params, grads, m, v, strict=True):
-                g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                p -= (rate * a / (1 - 0.9**n) / (np.sqrt(b / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
+            adam.step(grads)
     return losses
 
 
+def packed_network(net: Network) -> bytes:
+    return np.concatenate([p.ravel() for p in net.params]).astype(np.float32).tobytes()
+
+
+def unpacked_network(raw: bytes, like: Network) -> Network:
+    flat, at, out = np.frombuffer(raw, np.float32), 0, []
+    for p in like.params:
+        out.append(flat[at : at + p.size].reshape(p.shape).copy())
+        at += p.size
+    return Network(*out)
+
+
+def train_everywhere(rows: DataFrame, net: Network, hashes: np.ndarray) -> Network:
+    """From ``net``, trained by every task on all its rows(text) and averaged by tokens; hashes: of the network's words, by falling count."""
+    order = np.argsort(hashes)
+    shared = rows.sparkSession.sparkContext.broadcast((net, hashes[order], order + SPECIAL))  # bounded by VOCABULARY
+    schema, names = "p long, n long, w binary", ["p", "n", "w"]
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, table, token = shared.value
+        own = Network(*(p.copy() for p in start.params))
+        adam = Adam(own, TASK_RATE, 64)
+        docs, held, n = [], 0, 0
+        for b in batches:
+            for _, _, data, off in tb.slices(b.column(0)):
+                x, first = tb.words(data, off)
+                at = tb.lookup(table, x)
+                x = np.where(at < 0, UNKNOWN, token[at] if len(token) else UNKNOWN)
+                docs += np.split(x, first[1:-1])
+                held += len(x) + len(off) - 1
+                if held >= TASK_TOKENS:
+                    train_network(own, docs, 1, lanes=TASK_LANES, adam=adam)
+                    docs, held, n = [], 0, n + held
+        if docs:
+            train_network(own, docs, 1, lanes=TASK_LANES, adam=adam)
+            n += held
+        if n:
+            context = TaskContext.get()
+            yield pa.RecordBatch.from_arrays([pa.array([context.partitionId() if context else 0], pa.int64()), pa.array([n], pa.int64()), pa.array([packed_network(own)], pa.binary())], names)
+
+    def average(t: pa.Table) -> pa.Table:
+        t = t.sort_by("p")
+        n = np.array(t.column("n").to_pylist(), np.int64)
+        total = sum(k * np.frombuffer(w.as_py(), np.float32).astype(np.float64) for k, w in zip(n.tolist(), t.column("w"), strict=True))
+        return pa.table({"p": pa.array([t.column("p")[0].as_py() // FAN], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+    nets = written(rows.select("text").mapInArrow(train, schema), "networks")
+    while len(got := nets.limit(2).collect()) > 1:
+        nets = written(nets.groupBy(F.floor(F.col("p") / FAN)).applyInArrow(average, schema), "networks")
+    return unpacked_network(got[0].w, net) if got else net
+
+
 def score_documents(net: Network, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log-likelihood of each document: tokens first[i] to first[i + 1], the last of them END."""
     length = np.diff(first)
@@ -311,7 +374,7 @@ def fit(docs: DataFrame, train: Column, parts: int | None = None, sample: int =
     total = counts.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n"), F.sum("docs").alias("d")).first()
     v, n, ends = total.v or 0, total.n or 0, total.d or 0
     h, c = most_frequent(counts, parts)
-    in_net = c[:VOCABULARY]
+    in_net, top = c[:VOCABULARY], h[:VOCABULARY]
     net = new_network(in_net, ends, n - int(in_net.sum()))
     order = np.argsort(h)
     tokens = np.where(order < VOCABULARY, order + SPECIAL, UNKNOWN)
@@ -332,6 +395,7 @@ def fit(docs: DataFrame, train: Column, parts: int | None = None, sample: int =
         some = docs.sparkSession.createDataFrame([(x,) for x in sorted(set(picked))], "doc_id long")
         got = rows.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi").mapInArrow(ids, "doc_id long, w binary").orderBy("doc_id", "w").collect()
         train_network(net, [np.frombuffer(r.w, np.int32).astype(np.int64) for r in got])
+    m.net = train_everywhere(rows, net, np.array(top, U))
     return m, counts
 
 
