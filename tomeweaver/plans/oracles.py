@@ -72,14 +72,14 @@ why as (select *, weight * jaccard contribution from near where r <= 20 and book
 best as (select book_id, sum(contribution) score, max(jaccard) best_jaccard, count(*) supporting_seeds from why group by book_id order by score desc, best_jaccard desc, supporting_seeds desc, book_id limit 10)
 select b.book_id, round(b.score, 9) score, round(best_jaccard, 9) best_jaccard, supporting_seeds, seed_id, round(contribution, 9) contribution from best b join why using (book_id)"""
 BENCH = f"bench as (select doc_id book_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) term from documents), terms as (select * from bench where length(term) >= 3 and term not in ({STOP}))"
-PART = POSTS.replace("where true", "where doc_id % 5 <> 0")
+PART = POSTS.replace("where true", "where lang is distinct from 'es'")
 NEW = _posts("fresh", "regexp_replace(lower(text), '\\bthe\\b', ' ', 'g') || ' added'")
 CHANGES = "changes as (select book_id, term, 'added' as change from fresh anti join posts using (book_id, term) union all select book_id, term, 'removed' from posts anti join fresh using (book_id, term))"
 
 
 def _sync(prune: bool) -> str:
-    return f"""{BOOKS}, new as (select id, storage_key, case when id % 11 = 0 then title || ' rev' else title end title, author, language, source_url, content_sha256 sha from books where id % 7 <> 1),
-old as (select id, storage_key, title, author, language, source_url, case when id % 13 = 0 then '0' else content_sha256 end sha from books where id % 7 <> 2),
+    return f"""{BOOKS}, new as (select id, storage_key, case when id % 11 = 0 then title || ' rev' else title end title, author, language, source_url, content_sha256 sha from books where language is distinct from 'de'),
+old as (select id, storage_key, title, author, language, source_url, case when id % 13 = 0 then '0' else content_sha256 end sha from books where language is distinct from 'fr'),
 diff as (select coalesce(n.storage_key, o.storage_key) storage_key, case when o.storage_key is null then 'insert' when n.storage_key is null then '{"delete" if prune else "keep"}'
   when n.sha = o.sha and n.title = o.title and n.language is not distinct from o.language then 'unchanged' else 'update' end as action,
   coalesce(({"n.storage_key is null" if prune else "false"}) or (o.storage_key is not null and n.storage_key is not null and n.sha <> o.sha), false) dirty
@@ -141,6 +141,6 @@ ORACLES = {
     "basename_of_path": "select page_id, regexp_replace(url, '^.*[/\\\\]', '') basename from pages",
     "catalog_sync_diff": f"with {_sync(False)} select * from diff",
     "catalog_sync_counts": f"with {_sync(True)} select action, count(*) books, count(*) filter (dirty) dirty from diff group by action",
-    "catalog_merge": f"with {BOOKS} select storage_key, case when id % 3 <> 0 and id % 2 = 0 then 'Own ' || title else 'Found ' || title end title, case when id % 3 <> 0 and id % 5 = 0 then 'Somebody' else 'Anon' end author, language, source_url from books",
+    "catalog_merge": f"with {BOOKS} select storage_key, case when language is distinct from 'fr' and id % 2 = 0 then 'Own ' || title else 'Found ' || title end title, case when language is distinct from 'fr' and id % 5 = 0 then 'Somebody' else 'Anon' end author, language, source_url from books",
     "detect_language": _detect(),
 }
