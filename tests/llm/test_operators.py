@@ -171,6 +171,22 @@ def test_language_id(spark, sf, docs, texts):
     assert kept.columns == sf.columns and kept.count() >= 0.99 * sf.count()
 
 
+def test_language_id_rejects_other_languages_and_noise(spark):
+    rng = random.Random(4)
+    vocab = {"en": "the of and to in that was his with for had you not are this river house water under light", "de": "der die und den von ein nicht mit sich auf auch wieder Haus Wasser unter Licht zwischen"}
+    prose = lambda v, n: " ".join(rng.choice(v.split()) for _ in range(n))
+    letters = lambda v, n: " ".join("".join(rng.choice(v) for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    rows = [(k, prose(vocab[g], rng.randrange(3, 300)), g, "a") for k, g in enumerate(["en", "de"] * 150)]
+    odd = [(1000, letters("qxzjkw", 2), "en", "a"), (1001, letters("0123456789abcdef", 40), "de", "a")]
+    model = language_id.fit(frame(spark, rows + odd))
+    # one odd text neither lowers the floor of ordinary ones nor holds a centroid
+    finnish = "vaka vanha itse tuon sanoiksi virkki mieleni minun tekevi aivoni ajattelevi sanat suussani sulavat puhehet putoelevat"
+    far = [prose(finnish, 300), letters("0123456789abcdef", 300), letters("bcdfghjklmnpqrstvwxz", 300), letters("abcdefghijklmnopqrstuvwxyz", 300)]
+    near = [prose(vocab[g], n) for g in vocab for n in (3, 10, 50, 300)]
+    got = {r.doc_id: r.rejected for r in language_id.language_id(frame(spark, [(k, t, None, "a") for k, t in enumerate(far + near)]), model).collect()}
+    assert [got[k] for k in range(len(got))] == [True] * len(far) + [False] * len(near)
+
+
 def test_lm_score_base_columns(spark, docs, texts):
     # a condition that is null counts as false: such rows are neither trained on nor held out
     model, counts = lm_score.fit(docs, F.coalesce(F.col("doc_id") % 7 != 2, F.lit(False)), 3)

@@ -3,8 +3,10 @@
 A text is a vector of hashed letter trigrams (sublinear TF times IDF, unit
 length).  Per language, spherical k-means over a bounded sample of labelled
 texts gives several centroids; the language of the centroid with the highest
-cosine wins, and a text further from every centroid than any training text of
-the language (with a margin) is rejected.
+cosine wins, and a text is rejected whose cosine is under the floor of the
+language for texts of as many distinct trigrams: a share of a low quantile of the cosines of
+training texts, and of their beginnings, that have about as many.  Odd texts that
+would hold a centroid of their own have no part in one, as noise lies close to it.
 
 Nulls: null text or a text without letters is ``und`` with score 0 and is
 rejected; null doc_id stays null; rows with a null lang are not learned from.
@@ -28,8 +30,14 @@ from . import textbatch as tb
 DIMS = 4096
 #: Bound on the labelled sample, in texts of each language, and centroids of each language.
 SAMPLE_PER_LANG, CENTROIDS = 400, 4
-#: A text is rejected under this share of the lowest training cosine.
-MARGIN = 0.25
+#: A text is rejected under this share of the low quantile of training cosines at its length.
+MARGIN, LOW = 0.5, 0.05
+#: Classes of length: the logarithm to base 2 of the number of distinct trigrams, so that a repeated phrase counts as a
+#: short text; the beginnings learned from have so many bytes.
+LENGTHS = 11
+CUTS = [3 * 2**k // 2 for k in range(1, LENGTHS - 1)]
+#: Texts that hold a centroid of a smaller share of a language's texts have no part in centroids.
+MIN_SHARE = 0.02
 #: Letters to bytes: ASCII letters lower-cased, bytes of other characters as they are, all else a space.
 LETTER = np.full(256, 0x20, np.uint8)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -71,7 +79,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray  # of each centroid, an index of langs
-    floor: np.ndarray  # of each language, the lowest cosine that is not rejected
+    floor: np.ndarray  # of each language and class of length, the lowest cosine that is not rejected
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -87,6 +95,31 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def held_centroids(x: np.ndarray) -> np.ndarray:
+    """Centroids of one language's texts; texts that make a centroid of few are left out and the others clustered again."""
+    while True:
+        c = spherical_kmeans(x, CENTROIDS)
+        own = (x @ c.T).argmax(1)
+        n = np.bincount(own, minlength=len(c))
+        held = (n >= MIN_SHARE * len(x)) | (np.arange(len(c)) == n.argmax())
+        if held.all() or n[held].sum() == len(x):
+            return c[held]
+        x = x[held[own]]
+
+
+def length_class(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum((counts > 0).sum(1), 1)).astype(int), LENGTHS - 1)
+
+
+def floors(cos: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The lowest cosine kept in each class of length; a class without texts has that of the class below."""
+    out = np.zeros(LENGTHS)
+    for k in range(LENGTHS):
+        own = cos[length == k]
+        out[k] = MARGIN * float(np.quantile(own, LOW)) if len(own) else out[max(k - 1, 0)]
+    return out
+
+
 def fit(docs: DataFrame, train: Column | None = None, sample: int = SAMPLE_PER_LANG) -> Model:
     """Fits on at most ``sample`` texts of each language: those first by a hash of their id."""
     rows = docs if train is None else docs.where(train)
@@ -101,24 +134,33 @@ def fit(docs: DataFrame, train: Column | None = None, sample: int = SAMPLE_PER_L
         for b in batches:
             for i, j, data, off in tb.slices(b.column(1)):
                 m = np.minimum(count_matrix(data, off), 60000).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in m], pa.binary())], ["lang", "v"])
+                heads = [data[x : min(y, x + CUTS[-1] + 1)].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in m], pa.binary()), pa.array(heads, pa.binary())], ["lang", "v", "head"])
 
-    got = texts.select("lang", "text").mapInArrow(vectors, "lang string, v binary").orderBy("lang", "v").collect()
+    got = texts.select("lang", "text").mapInArrow(vectors, "lang string, v binary, head binary").orderBy("lang", "v", "head").collect()
     langs = sorted({r.lang for r in got})
     m = np.array([np.frombuffer(r.v, np.uint16) for r in got], np.float32).reshape(-1, DIMS)
     y = np.array([langs.index(r.lang) for r in got], int)
     keep = m.sum(1) > 0
-    m, y = m[keep], y[keep]
+    m, y, heads = m[keep], y[keep], [r.head for r, k in zip(got, keep.tolist(), strict=True) if k]
     idf = np.log((len(m) + 1) / ((m > 0).sum(0) + 1)).astype(np.float32) + 0.1
     x = unit_rows(np.log1p(m) * idf)
-    cs, owner, floor = [np.zeros((0, DIMS), np.float32)], [], np.zeros(len(langs))
+    cs, owner, floor = [np.zeros((0, DIMS), np.float32)], [], np.zeros((len(langs), LENGTHS))
     for k in range(len(langs)):
         own = x[y == k]
         if len(own):
-            c = spherical_kmeans(own, CENTROIDS)
+            c = held_centroids(own)
             cs.append(c)
             owner += [k] * len(c)
-            floor[k] = MARGIN * float((own @ c.T).max(1).min())
+            cos, length = [(own @ c.T).max(1)], [length_class(m[y == k])]
+            own_heads = [h for h, of in zip(heads, y.tolist(), strict=True) if of == k]
+            for cut in CUTS:  # a text that ends before the cut stands among the whole ones
+                begun = [h[:cut] for h in own_heads if len(h) > cut]
+                b = count_matrix(np.frombuffer(b"".join(begun), np.uint8), np.concatenate([[0], np.cumsum([len(h) for h in begun], dtype=np.int64)]).astype(np.int64))
+                b = b[b.sum(1) > 0]
+                cos.append((unit_rows(np.log1p(b) * idf) @ c.T).max(1, initial=0))
+                length.append(length_class(b))
+            floor[k] = floors(np.concatenate(cos), np.concatenate(length))
     return Model(langs, idf, np.concatenate(cs).astype(np.float32), np.array(owner, int), floor)
 
 
@@ -141,9 +183,10 @@ def verdicts(texts: pa.Array, data: np.ndarray, off: np.ndarray, model: Model) -
     n = len(ok)
     if not model.langs:
         return ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
-    lang, score, sim = predict(count_matrix(data, off), model)
+    counts = count_matrix(data, off)
+    lang, score, sim = predict(counts, model)
     name = [model.langs[k] if g else "und" for k, g in zip(lang.tolist(), ok.tolist(), strict=True)]
-    return name, np.where(ok, score, 0.0), np.clip(sim, 0, 1).astype(float), ~ok | (sim < model.floor[lang])
+    return name, np.where(ok, score, 0.0), np.clip(sim, 0, 1).astype(float), ~ok | (sim < model.floor[lang, length_class(counts)])
 
 
 SCHEMA = "doc_id long, lang_pred string, score double, similarity double, rejected boolean"
