@@ -437,6 +437,14 @@ def test_mixing(spark, docs, sf, monkeypatch):
     assert ((take.k - take.t).abs() <= 0.05 * take.t).all()
 
 
+def test_small_sources_stay_beside_a_hot_one(spark):
+    hot = [(k, "word " * 100, "en", "hot") for k in range(1000)]
+    small = [(5000 + 100 * s + k, "one two three", "en", f"small{s}") for s, n in enumerate((10, 1, 50)) for k in range(n)]
+    mixed = Counter(r.source for r in mixing.mixed_documents(frame(spark, hot + small)).select("source").collect())
+    assert [mixed[f"small{s}"] for s in range(3)] == [30, 3, 150]
+    assert 900 <= mixed["hot"] <= 1000
+
+
 def test_seats_are_highest_quotients(spark):
     rng = random.Random(3)
     for total in (0, 1, 7, 100):

@@ -6,7 +6,10 @@ words make blocks of equal size; blocks go to sources by the highest quotients
 target / (2j + 1), and each source's blocks to its shards by the highest
 quotients of shard words.  A shard's documents stand in an order drawn from the
 seed, and its quota is the first blocks of that stream, which starts over when
-it is used up.
+it is used up.  ``mix`` has blocks of a share of a shard, as its SQL does, so a
+source of less than half a block takes nothing; ``mixed_documents`` has finer
+ones, at most ``FINE`` of the smallest target, so every source with a target of
+a document takes part.
 
 A source has a shard for each ``SHARD_DOCS`` documents, so a hot source is
 dealt out evenly and no window holds more than about so many rows.  Only
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from .store import written
 
 REPEATS, SHARD_DOCS, BLOCKS_PER_SHARD, SEED = 3, 4096, 64, "mix-1"
+#: A fine block is no more than this share of the smallest target, and no less than a word.
+FINE = 0.01
 
 
 def n_words(text: Column) -> Column:
@@ -55,7 +60,7 @@ def seats(parties: DataFrame, group: list[str], votes: str, total: str, order: s
     return p.alias("a").join(won.alias("b"), cond, "left").select("a.*", (F.col("a.sure_") + F.coalesce(F.col("b.won_"), F.lit(0))).alias(name)).drop("n_", "v_", "sure_", "most_", "left_")
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, fine: bool = False) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, source, size, source_size, target, taken."""
     base = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -69,6 +74,9 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     src = src.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")))
     src = src.withColumn("shards", F.ceil(F.col("n_docs") / F.lit(float(SHARD_DOCS))).cast("long"))
     src = src.withColumn("block", F.greatest(F.lit(1).cast("long"), F.floor(F.col("total").cast("double") / (F.sum("shards").over(one) * BLOCKS_PER_SHARD))))
+    if fine:
+        least = F.floor(FINE * F.min(F.when(F.col("target") > 0, F.col("target"))).over(one))
+        src = src.withColumn("block", F.greatest(F.lit(1).cast("long"), F.least("block", least)))
     src = src.withColumn("blocks", F.floor(F.col("total").cast("double") / F.col("block") + 0.5))
     src = seats(src, [], "target", "blocks", "rn", "quota")
     src = written(src.select(F.col("source").alias("source_"), "rn", "source_size", "target", "shards", "block", "quota"), "mix-sources")
@@ -89,7 +97,7 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
     Rows that agree in doc_id, source and size share their taken words evenly.
     """
-    plan = mix(docs, seed).where("size > 0").groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken").cast("double") / (F.count("*") * F.col("size")) + 0.5).cast("int").alias("copies")).where("copies > 0")
+    plan = mix(docs, seed, fine=True).where("size > 0").groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken").cast("double") / (F.count("*") * F.col("size")) + 0.5).cast("int").alias("copies")).where("copies > 0")
     plan = plan.select(F.col("doc_id").alias("doc_id_"), F.col("source").alias("source_"), F.col("size").alias("size_"), "copies")
     d = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
     j = d.join(plan, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_")))
