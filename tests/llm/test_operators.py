@@ -381,6 +381,24 @@ def test_decision_list():
     assert quality_rules.learn_list(mixed, {"f": [0.5]}) == []
 
 
+def test_quality_rules_learn_each_kind_of_spam(spark):
+    # four kinds of low quality, each a quarter of the low class and each apart from all fine texts
+    rng = random.Random(8)
+    cells = [(k, 0, k % 4 if k % 3 == 0 else None) for k in range(2400)]
+    rows, labels = [], []
+    for k, _, kind in cells:
+        n, chars = rng.randrange(80, 400), 0
+        chars = n * 5 + rng.randrange(n)
+        some = rng.randrange(n // 5, n)
+        rows.append((k, n, chars, some if kind == 0 else 0, some // 8 if kind == 1 else 0, 0, some if kind == 2 else rng.randrange(n // 20 + 1), some if kind == 3 else 0))
+        labels.append((k, int(kind is None)))
+    stats = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long")
+    rules = quality_rules.fit(stats, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r.doc_id: r.kept for r in stats.select("doc_id", quality_rules.verdict(rules).alias("kept")).collect()}
+    low, fine = [got[k] for k, _, kind in cells if kind is not None], [got[k] for k, _, kind in cells if kind is None]
+    assert sum(not x for x in low) >= 0.97 * len(low) and sum(fine) >= 0.99 * len(fine)
+
+
 def toxic_corpus(n=900):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 8)))

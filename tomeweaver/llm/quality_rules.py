@@ -4,9 +4,10 @@ DataFrame functions only.  A text's statistics come from built-in functions.
 Sequential covering learns, from all labelled rows, an ordered list of
 conjunctions of thresholds that mark low quality: a rule grows by the condition
 of highest FOIL gain on one part of the rows, is pruned on the other part, and
-is kept while it is precise there; then the rows it covers go.  What it learns
-from is a table of counts by threshold bins (at most ``(2 * len(QUANTILES) +
-1) ** features`` rows, whatever the input's size).
+is kept while it is precise there; then the rows it covers go.  When a rule is
+not kept, the next best is tried.  Each step of growth reads one histogram of the rows that are
+still uncovered, by feature and threshold bin, which Spark counts (some hundred rows, whatever the
+input's size); the labelled rows themselves stay a table.
 
 Nulls: null text has no words (and so fails the base rules), null doc_id stays null and has no
 label, null labels are not learned from.  Without labels the list is empty and
@@ -29,8 +30,10 @@ from .store import written
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Thresholds of a feature are these quantiles of it in either class.
-QUANTILES = [0.02, 0.5, 0.98]
+#: Thresholds of a feature are these quantiles of it in either class, and the smallest value above 0.
+QUANTILES = [0.0, 0.005, 0.01, *(k / 50 for k in range(1, 50)), 0.99, 0.995, 1.0]
+#: Rules that may fail to be kept before the list ends.
+MAX_FAILED = 28
 MAX_RULES, MAX_CONDITIONS, MIN_COVER, PRECISION = 12, 3, 5, 0.9
 
 
@@ -114,44 +117,84 @@ def precision(p: int, n: int) -> float:
     return (p + 0.5) / (p + n + 1)
 
 
-def learn_list(cells: list[Cell], thresholds: dict[str, list[float]]) -> list[list[Condition]]:
-    """Ordered rules for low quality."""
+#: Of each feature and bin: low and fine rows of the growing part, low and fine rows of the other.
+Histogram = dict[tuple[str, int], tuple[int, int, int, int]]
+Rule = list[tuple[str, bool, int]]
+
+
+def by_condition(h: Histogram, thresholds: dict[str, list[float]]) -> dict[tuple[str, bool, int], list[int]]:
+    """Of each condition, the sums of the histogram's counts where it holds."""
+    out = {}
+    for f, ts in thresholds.items():
+        bins = [h.get((f, k), (0, 0, 0, 0)) for k in range(len(ts) + 1)]
+        total, below = [sum(x) for x in zip(*bins, strict=True)], [0, 0, 0, 0]
+        for k in range(len(ts)):
+            below = [x + y for x, y in zip(below, bins[k], strict=True)]
+            out[f, True, k], out[f, False, k] = [x - y for x, y in zip(total, below, strict=True)], below
+    return out
+
+
+def learn(histogram: Callable[[list[Rule], Rule], Histogram], thresholds: dict[str, list[float]]) -> list[list[Condition]]:
+    """Ordered rules for low quality; ``histogram`` counts the rows that a rule covers and those before it do not."""
     import math
 
-    conditions = [(f, side, k) for f, ts in thresholds.items() for k in range(len(ts)) for side in (True, False)]
-    left, rules = list(cells), []
-    while len(rules) < MAX_RULES:
-        rule: list[tuple[str, bool, int]] = []
-        p, n, own = covered(left, rule, True)
-        while n and len(rule) < MAX_CONDITIONS:
+    rules: list[Rule] = []
+    barred: set[tuple[str, bool]] = set()  # what began rules that were not kept
+    failed, first = 0, None
+    while len(rules) < MAX_RULES and failed < MAX_FAILED:
+        rule: Rule = []
+        counts: list[list[int]] = []  # of the rule's first conditions
+        while len(rule) < MAX_CONDITIONS:
+            if rule or first is None:
+                h = by_condition(histogram(rules, rule), thresholds)
+                first = first if rule else h
+            found = h if rule else first
+            p, n = counts[-1][:2] if rule else next(([found[f, True, 0][i] + found[f, False, 0][i] for i in (0, 1)] for f, ts in thresholds.items() if ts), (0, 0))
+            if not n:
+                break
             info = math.log2(max(p, 1e-9) / (p + n))
             best = None
-            for c in conditions:
-                q, m = sum(x.low for x in own if holds(x, c)), sum(x.fine for x in own if holds(x, c))
-                if q >= MIN_COVER:
+            for c, (q, m, _, _) in found.items():
+                if q >= MIN_COVER and (rule or c[:2] not in barred):
                     gain = q * (math.log2(q / (q + m)) - info)
                     if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
                         best = (gain, c)
             if best is None:
                 break
             rule.append(best[1])
-            p, n, own = covered(left, rule, True)
+            counts.append(found[best[1]])
         if not rule:
             break
         while len(rule) > 1:  # prune: drop the last condition while the other part likes it
-            p0, n0, _ = covered(left, rule, False)
-            p1, n1, _ = covered(left, rule[:-1], False)
+            (_, _, p0, n0), (_, _, p1, n1) = counts[-1], counts[-2]
             if (p1 - n1) / max(p1 + n1, 1) < (p0 - n0) / max(p0 + n0, 1) or precision(p1, n1) < PRECISION:
                 break
             rule.pop()
-        p, n, own = covered(left, rule, None)
-        held_p, held_n, _ = covered(left, rule, False)
-        if p < MIN_COVER or precision(p, n) < PRECISION or precision(held_p, held_n) < PRECISION:
-            break
-        rules.append([(f, side, thresholds[f][k]) for f, side, k in rule])
-        gone = {id(c) for c in own}
-        left = [c for c in left if id(c) not in gone]
-    return rules
+            counts.pop()
+        q, m, held_p, held_n = counts[-1]
+        if q + held_p < MIN_COVER or precision(q + held_p, m + held_n) < PRECISION or precision(held_p, held_n) < PRECISION:
+            barred.add(rule[0][:2])
+            failed += 1
+            continue
+        rules.append(rule)
+        barred, first = set(), None
+    return [[(f, side, thresholds[f][k]) for f, side, k in rule] for rule in rules]
+
+
+def learn_list(cells: list[Cell], thresholds: dict[str, list[float]]) -> list[list[Condition]]:
+    """The list from cells in memory."""
+
+    def histogram(rules: list[Rule], rule: Rule) -> Histogram:
+        out: dict[tuple[str, int], list[int]] = {}
+        for c in covered(cells, rule, None)[2]:
+            if not any(all(holds(c, x) for x in r) for r in rules):
+                for f in thresholds:
+                    t = out.setdefault((f, c.bins[f]), [0, 0, 0, 0])
+                    t[0 if c.grow else 2] += c.low
+                    t[1 if c.grow else 3] += c.fine
+        return {k: tuple(v) for k, v in out.items()}
+
+    return learn(histogram, thresholds)
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
@@ -160,11 +203,30 @@ def fit(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     f = features()
     rows = stats.where(~base_failed()).join(marked, "doc_id").select("low", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("grow"), *(c.alias(k) for k, c in f.items()))
     rows = written(rows, "quality-rows")
-    found = rows.groupBy("low").agg(*(F.percentile_approx(k, QUANTILES, 2000).alias(k) for k in f)).collect()
-    thresholds = {k: sorted({x for r in found for x in r[k]}) for k in f}
-    bins = [sum((F.when(F.col(k) >= t, 1).otherwise(0) for t in ts), F.lit(0)).alias(k) for k, ts in thresholds.items()]
-    counts = rows.select("low", "grow", *bins).groupBy("grow", *f).agg(F.count_if("low").alias("n_low"), F.count_if(~F.col("low")).alias("n_fine")).orderBy("grow", *f).collect()  # as many rows as bins combine
-    return learn_list([Cell({k: r[k] for k in f}, r.grow, r.n_low, r.n_fine) for r in counts], thresholds)
+    found = rows.groupBy("low").agg(*(F.array_append(F.percentile_approx(k, QUANTILES, 2000), F.min(F.when(F.col(k) > 0, F.col(k)))).alias(k) for k in f)).collect()
+    if not found:
+        return []
+    thresholds = {k: sorted({x for r in found for x in r[k] if x is not None}) for k in f}
+    reached = lambda k: F.size(F.filter(F.array(*map(F.lit, thresholds[k])), lambda t: F.col(k) >= t))
+    bins = [reached(k).alias(k) for k in thresholds]
+    cells = written(rows.select("low", "grow", *bins).groupBy("grow", *f).agg(F.count_if("low").alias("n_low"), F.count_if(~F.col("low")).alias("n_fine")), "quality-cells")
+
+    def holding(rule: Rule) -> Column:
+        out = F.lit(True)
+        for k, side, t in rule:
+            out = out & ((F.col(k) > t) if side else (F.col(k) <= t))
+        return out
+
+    def histogram(rules: list[Rule], rule: Rule) -> Histogram:
+        left = cells.where(holding(rule))
+        for x in rules:
+            left = left.where(~holding(x))
+        binned = left.select("grow", "n_low", "n_fine", F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col(k).alias("bin")) for k in f))).alias("x"))
+        part = [F.sum(F.when(F.col("grow") == g, F.col(c)).otherwise(0)) for g in (True, False) for c in ("n_low", "n_fine")]
+        got = binned.groupBy("x.f", "x.bin").agg(*(c.alias(f"c{i}") for i, c in enumerate(part))).collect()  # as many rows as features have bins
+        return {(r.f, r.bin): (r.c0, r.c1, r.c2, r.c3) for r in got}
+
+    return learn(histogram, thresholds)
 
 
 def verdict(rules: list[list[Condition]]) -> Column:
