@@ -428,6 +428,19 @@ def test_toxicity(spark, docs, texts):
     assert {r.score for r in toxicity.toxicity(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_rare_toxic_labels(spark):
+    # 40 toxic rows among 4000, all behind the calibration's first rows by hash
+    corpus = [(k, t) for k, t, b in toxic_corpus(4800) if not b]
+    bad = [(100000 + k, t) for k, t, b in toxic_corpus(900) if b]
+    d = frame(spark, [(k, t, "en", "a") for k, t in corpus + bad])
+    labels = spark.createDataFrame([(k, 0) for k, _ in corpus] + [(k, 1) for k, _ in bad[:40]], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels, calibration=20)
+    assert model.toxic is not None
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(d, model).collect()}
+    unseen = [got[k] for k, _ in bad[40:]]
+    assert sum(unseen) >= 0.9 * len(unseen) and sum(got[k] for k, _ in corpus) <= 0.01 * len(corpus)
+
+
 def on_duckdb(spark, sql, **tables):
     con = duckdb.connect()
     for name, df in tables.items():
