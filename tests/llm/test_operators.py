@@ -135,6 +135,15 @@ def test_ngram_join(spark, texts, monkeypatch, hot, block):
     assert got == sorted(brute_components(all_), key=str)
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = ("one two three four five six seven " + w for w in ("alpha", "beta beta beta beta beta beta beta", "gamma gamma gamma"))
+    other = "quite another text that nothing else here is like at all"
+    bare = [(20, None), (None, ""), (21, " ")]
+    rows = [(3, a), (5, a), (5, other), (7, b), (7, b), (7, b), (None, b), (None, c), (None, c), (None, a), *bare]
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(frame(spark, [(k, t, "en", "a") for k, t in rows]).repartition(3)).collect()), key=str)
+    assert got == sorted([(3, a), (5, other), (7, b), (None, c), *bare], key=str)
+
+
 def test_places_of_linked_sets_meet():
     rng = np.random.default_rng(2)
     for _ in range(300):

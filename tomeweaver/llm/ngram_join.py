@@ -190,16 +190,18 @@ def components(vectors: list[np.ndarray], n: np.ndarray, sets: list[np.ndarray]
         giant = int(size.argmax())
 
 
-def _ids(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sid and vec (null for an empty set)."""
+def _ids(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, sid and vec (null for an empty set); keyed, also a hash of the text."""
+    names = ["doc_id", "n_shingles", "sid", "vec", *(["text_hash"] if keyed else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, off in tb.slices(b.column(1)):
                 s = shingle_sets(data, off)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(x) for x in s], pa.int64()), pa.array([set_id(x) if len(x) else None for x in s], pa.int64()), pa.array([vector(x).tobytes() if len(x) else None for x in s], pa.binary())], ["doc_id", "n_shingles", "sid", "vec"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(x) for x in s], pa.int64()), pa.array([set_id(x) if len(x) else None for x in s], pa.int64()), pa.array([vector(x).tobytes() if len(x) else None for x in s], pa.binary()), *(b.column(c).slice(i, j - i) for c in range(2, b.num_columns))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sid long, vec binary")
+    read = docs.select("doc_id", "text", *([F.xxhash64("text").alias("text_hash")] if keyed else []))
+    return read.mapInArrow(run, "doc_id long, n_shingles long, sid long, vec binary" + (", text_hash long" if keyed else ""))
 
 
 def _met(docs: DataFrame, parts: int) -> DataFrame:
@@ -437,17 +439,22 @@ def _verified(docs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     return first.unionAll(second)
 
 
-def ngram_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id: the least doc_id that links reach."""
+def _labelled(docs: DataFrame, parts: int | None = None, keyed: bool = False) -> DataFrame:
+    """The rows of ``_ids`` without vec, with label: the component, null for an empty set."""
     parts = parts or shuffle_partitions(docs.sparkSession)
-    rows = written(_ids(docs), "ngram-ids")
+    rows = written(_ids(docs, keyed), "ngram-ids")
     met = written(_met(docs, parts), "ngram-met")
     members = _unpacked(met)
     named = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("vec").alias("vec"))
     roots = connected(_candidates(members, named, parts), "ngram-candidates")
     nodes = roots.join(named.select(F.col("sid").alias("node"), "doc_id", "n"), "node")
     labels = connected(_verified(docs, nodes, parts), "ngram-components")
-    r = written(rows.drop("vec").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid")), "ngram-labels")
+    return written(rows.drop("vec").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("root", "sid")), "ngram-labels")
+
+
+def ngram_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id: the least doc_id that links reach."""
+    r = _labelled(docs, parts)
     # both are tables, so that the join of a hot component's rows can be split
     least = written(r.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least")), "ngram-least")
     out = r.join(least, "label", "left")
@@ -455,9 +462,19 @@ def ngram_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's id: one document of each group (rows that share that id stay).
+    """One row of docs for each component: of the rows with its least doc_id (null last) one of the least text hash.
 
-    A row without a doc_id stays only if its component has no id at all.
+    Rows without shingles are in no component and all stay.
     """
-    keep = ngram_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    r = _labelled(docs, keyed=True)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    # the count goes by key, so that rows that agree in id and text, of which one stays, are told from the others
+    of = r.where(F.col("label").isNotNull()).groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("rows_"))
+    first = of.groupBy("label").agg(F.min(F.struct(key.alias("key"), "rows_")).alias("x")).select("x.key.doc_id", "x.key.text_hash", (F.col("x.rows_") > 1).alias("many_"))
+    bare = r.where(F.col("label").isNull()).select("doc_id", "text_hash", F.lit(False).alias("many_")).distinct()
+    keep = written(first.unionByName(bare), "ngram-keep").select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash"), "many_")
+    on = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.xxhash64("text") == F.col("keep_hash"))
+    once = docs.join(keep.where(~F.col("many_")), on, "left_semi")
+    # no shuffle of these texts but one a key and task
+    copies = docs.select("doc_id", F.xxhash64("text").alias("hash_"), F.struct(*docs.columns).alias("row_")).join(keep.where("many_"), F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("hash_") == F.col("keep_hash")), "left_semi")
+    return once.unionByName(copies.groupBy("doc_id", "hash_").agg(F.first("row_").alias("row_")).select("row_.*"))
