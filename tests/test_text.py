@@ -1,5 +1,6 @@
 import itertools
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,12 +22,18 @@ def test_tokens(spark):
     assert [text.tokenize(t) for t, _ in CASES] == [x for _, x in CASES]
 
 
-def test_canonical_three_ways(spark):
-    strings = ["½ Ĳ ŀ ß Æ Ø ł Ǆ ẛ", "Ḁẞ ÀÉ ſ", "plain"]
-    df = spark.createDataFrame([(s,) for s in strings], "t string")
-    rows = df.select("t", text.canonical(F.col("t")).alias("a"), text.canonical_exact(F.col("t")).alias("b")).collect()
+def test_canonical_folds_all_of_unicode(spark):
+    # every assigned character by itself, and some words in other forms
+    chars = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    strings = ["".join(chars[k : k + 64]) for k in range(0, len(chars), 64)] + ["½ Ĳ ŀ ß Æ Ø ł Ǆ ẛ", "Ḁẞ ÀÉ ſ", "plain", "ﬁnd ofﬁce ＡＢＣ 𝐀x ⓐⓑ", "Ａ\u0301", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(strings)], "i int, t string")
+    rows = df.select("i", "t", text.canonical(F.col("t")).alias("a"), text.tokens(F.col("t")).alias("b")).collect()
+    assert len(rows) == len(strings)
     for r in rows:
-        assert r.a == r.b == text.canonical_text(r.t)
+        assert r.a == text.canonical_text(r.t)
+        assert r.b == text.tokenize(r.t)
+    assert text.tokenize("ﬁnd ofﬁce ＡＢＣ 𝐀x") == ["find", "office", "abc", "ax"]
+
 
 
 def test_word_count(spark):
@@ -75,9 +82,19 @@ def test_substring_search_random_and_chunked():
 def test_languages(spark):
     fr = "le chat et la souris dans la maison avec des amis pour une fête qui ne se passe pas sur le toit de la ville " * 4
     en = "the cat and the mouse in the house with his friends for a feast that was not on the roof of the town " * 4
-    rows = [(1, fr, "fr"), (2, en, "en"), (3, "short", None), (4, "ελληνικά γράμματα " * 20, "el"), (5, "ひらがなとカタカナの文章です。" * 20, "ja"), (6, "xyz qwv " * 50, None), (7, None, None), (8, "漢字" * 100, "zh")]
-    got = spark.createDataFrame(rows, "i int, t string, want string").select("i", "want", language.detect(F.col("t")).alias("x")).collect()
-    assert all(r.x == r.want for r in got), got
+    rows = [(fr, "fr"), (en, "en"), ("short", None), ("Η ιστορία του ανθρώπου και της ζωής είναι μεγάλη. " * 30, "el"), ("これは日本語の本です。物語がここから始まります。" * 30, "ja"), ("xyz qwv " * 50, None), (None, None), ("漢字" * 100, "zh"), ("한국어 문장 " * 40, "ko"), ("ספר עברי " * 40, "he"), ("абвгд " * 100, None), ("", None)]
+    rows += [("Het was een dag waarop hij met haar naar de stad ging en zij niet wist wat er zou gebeuren. " * 20, "nl"), ("the " * 1000, None), ("og det at en et som på den til er var med for han hun ikke om men jeg så fra skulle dette " * 20, None)]
+    # each language's own words, but for those that so many lists share that no verdict is clear
+    rows += [((ws + " ") * 8, c) for c, ws in language.WORDS.items() if c not in ("da", "no")]
+    rows += [("køb og salg er ikke havde blev mig " * 30 + "og det at en et som på af den til havde mig havde mig havde mig havde mig " * 20, "da"), ("seg hadde meg " * 60 + "og det at en et som på av den til er " * 10, "no")]
+    rows += [("x" * 5000 + " " + en * 100, "en"), (fr * 20 + en * 100, "en")]
+    df = spark.createDataFrame([(7, t, want) for t, want in rows], "key int, text string, want string").repartition(3)
+    keyed = df.withColumn("k", F.struct("want", F.xxhash64("text").alias("h")))  # keys may repeat and be of any type
+    got = language.detect(keyed, "k").collect()
+    assert len(got) == len(rows) and all(r.detected == r.k.want for r in got), [r for r in got if r.detected != r.k.want]
+    again = language.detect(df, "key").collect()
+    assert sorted(str(r.detected) for r in again) == sorted(str(w) for _, w in rows)
+
 
 
 def test_language_codes(spark):

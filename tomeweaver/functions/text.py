@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 TOKEN = "[a-z]+(?:['-][a-z]+)*"
 WORD = "\\p{L}+(?:['’\\-]\\p{L}+)*"
@@ -18,32 +15,35 @@ MAX_PATTERN = 256
 #: Quotes and dashes, and letters that decompose into none of their own.
 SINGLE = {"‘": "'", "’": "'", "ʼ": "'", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "Ø": "O", "ø": "o", "Ł": "L", "ł": "l"}
 MULTIPLE = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe"}
+#: Combining marks that Unicode 14 and 15 added, which a virtual machine of an older Unicode does not take as marks.
+NEW_MARKS = (
+    "0898-089F 08CA-08D2 0C3C-0C3C 0CF3-0CF3 0ECE-0ECE 1715-1715 180F-180F 1AC1-1ACE 1DFA-1DFA 10EFD-10EFF 10F82-10F85 11070-11070 11073-11074 110C2-110C2 11241-11241 "
+    "11F00-11F01 11F03-11F03 11F34-11F3A 11F3E-11F42 13440-13440 13447-13455 1CF00-1CF2D 1CF30-1CF46 1E08F-1E08F 1E2AE-1E2AE 1E4EC-1E4EF"
+).split()
+#: Where those lie.
+NEWER = "[\\x{0898}-\\x{1DFF}\\x{10EFD}-\\x{1FFFF}]"
 
 
-@cache
-def folds() -> tuple[dict[str, str], dict[str, str]]:
-    """Foldings of one character to one, and to several, from the compatibility decompositions of the Latin blocks."""
-    one, many = dict(SINGLE), dict(MULTIPLE)
-    for code in (*range(0x80, 0x250), *range(0x1E00, 0x1F00)):
-        c = chr(code)
-        if c in one or c in many:
-            continue
-        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M"))
-        if d != c:
-            (one if len(d) == 1 else many)[c] = d
-    return one, many
+def decomposed(text: Column) -> Column:
+    """The compatibility decomposition (NFKD), by the Unicode library that Spark itself compares strings with.
+
+    Spark takes any call of a method as not deterministic, so the result may stand in a
+    projection or a filter, and inside an aggregate only by way of a projection.
+    """
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
 
 
 def canonical(text: Column) -> Column:
-    """Lower-cased text without accents; null is empty.  Exact for characters of the Latin blocks; ``canonical_exact`` for all."""
-    one, many = folds()
+    """Lower-cased text without accents, ligatures and other compatibility forms; null is empty."""
     t = F.coalesce(text, F.lit(""))
-    longer = t
-    for k, v in many.items():
-        longer = F.replace(longer, F.lit(k), F.lit(v))
+    plain = t
+    for k, v in (SINGLE | MULTIPLE).items():
+        plain = F.replace(plain, F.lit(k), F.lit(v))
     # most texts need neither step, and a test for that is cheap
-    c = F.when(t.rlike("[" + "".join(many) + "]"), longer).otherwise(t)
-    folded = F.regexp_replace(F.translate(c, "".join(one), "".join(one.values())), "\\p{M}+", "")
+    plain = F.when(t.rlike("[" + "".join(SINGLE | MULTIPLE) + "]"), plain).otherwise(t)
+    folded = F.regexp_replace(decomposed(plain), "\\p{M}+", "")
+    ranges = "".join("\\x{" + r.replace("-", "}-\\x{") + "}" for r in NEW_MARKS)
+    folded = F.when(t.rlike(NEWER), F.regexp_replace(folded, f"[{ranges}]+", "")).otherwise(folded)
     return F.lower(F.when(t.rlike("[^\\x00-\\x7F]"), folded).otherwise(t))
 
 
@@ -54,16 +54,6 @@ def canonical_text(text: str | None) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.category(c).startswith("M")).lower()
 
 
-def canonical_exact(text: Column) -> Column:
-    """The same by full NFKD, for text beyond the Latin blocks."""
-
-    def run(t: pd.Series) -> pd.Series:
-        return t.map(canonical_text)
-
-    run.__annotations__ = {"t": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, StringType())(text)
-
-
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(canonical(text), F.lit(TOKEN), F.lit(0))
 

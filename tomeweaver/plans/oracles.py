@@ -19,7 +19,7 @@ def _canonical(col: str) -> str:
 
 
 def _posts(name: str, col: str, where: str = "true") -> str:
-    return f"{name} as (select doc_id book_id, term, count(*)::integer occurrences from (select doc_id, unnest(regexp_extract_all({_canonical(col)}, {_q(TOKEN)})) term from documents where {where}) group by all)"
+    return f"{name} as materialized (select doc_id book_id, term, count(*)::integer occurrences from (select doc_id, unnest(regexp_extract_all({_canonical(col)}, {_q(TOKEN)})) term from documents where {where}) group by all)"
 
 
 TITLE = "'doc ' || lpad(doc_id::varchar, 7, '0')"
@@ -87,16 +87,20 @@ diff as (select coalesce(n.storage_key, o.storage_key) storage_key, case when o.
 
 
 def _detect() -> str:
-    lists = language.WORDS
-    scores = ", ".join(f"{{'score': len([x for x in w if x in ({', '.join(map(_q, ws.split()))})]), 'different': len(list_distinct([x for x in w if x in ({', '.join(map(_q, ws.split()))})])), 'code': {_q(c)}}}" for c, ws in sorted(lists.items()))
-    return f"""with s as (select doc_id, case when length(text) > 12000 then substr(text, 4001) else coalesce(text, '') end t from documents),
-w as (select doc_id, len(regexp_extract_all(t, '\\p{{L}}')) letters, regexp_extract_all(lower(t), '\\p{{L}}+') w from s),
-v as (select doc_id, letters, len(w) total, list_reverse_sort([{scores}]) l from w)
-select doc_id, case when letters >= 80 and l[1].different >= 5 and l[1].score >= 10 and l[1].score >= total * 0.05 and l[1].score > l[2].score * 1.2 then l[1].code end detected from v"""
+    rows = ", ".join(f"({_q(c)}, {_q(w)})" for c, ws in language.WORDS.items() for w in ws.split())
+    return f"""with lists(code, word) as (values {rows}),
+s as (select row_number() over () id, doc_id, case when length(text) > 12000 then substr(text, 4001) else coalesce(text, '') end t from documents),
+w as (select id, doc_id, regexp_extract_all(lower(t), '\\p{{L}}+') w from s),
+whole as (select id, doc_id, len(w) total, length(array_to_string(w, '')) letters from w),
+each as (select id, unnest(w) word from w),
+scores as (select id, code, count(*) score, count(distinct word) different from each join lists using (word) group by id, code),
+best as (select id, max_by(code, score) code, max(score) score, max_by(different, score) different, coalesce(list_reverse_sort(list(score))[2], 0) runner from scores group by id)
+select doc_id, case when letters >= 80 and different >= 5 and score >= 10 and score >= total * 0.05 and score > runner * 1.2 then code end detected from whole left join best using (id)"""
 
 
 ORACLES = {
     "canonical_text": f"select doc_id, sha256({_canonical('text')}) canonical_sha from documents",
+    "fold_compatibility": f"select doc_id, sha256({_canonical('text')}) canonical_sha from documents",
     "tokenize": f"select doc_id, unnest(range(len(t))) as position, unnest(t) as token from (select doc_id, regexp_extract_all({_canonical('text')}, {_q(TOKEN)}) t from documents)",
     "term_frequencies": f"with {POSTS} select * from posts",
     "document_frequency": f"with {POSTS}, {DF} select * from df",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import language, metadata, text
 from ..operators import index, pagerank, recommend, search, similarity
 from ..sources import catalog, corpus
-from ..sources.corpus import STOP_WORDS, Similarity, books, table
+from ..sources.corpus import STOP_WORDS, Similarity, books, spread, table
 from ..sources.store import written
 
 WORD, REGEX, TERM = "the", "m(an|en)", "thing"
@@ -25,8 +25,12 @@ def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books(table(spark, sf_dir, "documents"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language")), "id")
+
+
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.postings(_books(spark, sf_dir).select("id", "text"))
+    return index.postings(_texts(spark, sf_dir))
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +72,26 @@ def _flat(suggested: DataFrame) -> DataFrame:
 
 
 def canonical_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.canonical(F.col("text")), 256).alias("canonical_sha"))
+    return _texts(spark, sf_dir).select(F.col("id").alias("doc_id"), F.sha2(text.canonical(F.col("text")), 256).alias("canonical_sha"))
 
 
 def tokenize(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("position", "token"))
+    t = _texts(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode(text.tokens(F.col("text"))).alias("position", "token"))
     return t.select("doc_id", F.col("position").cast("bigint").alias("position"), "token")
 
 
+#: Forms that fold to the letters that they stand for: ligatures, full-width, mathematical and circled letters.
+FORMS = {"ffi": "ﬃ", "fi": "ﬁ", "fl": "ﬂ"} | {chr(0x61 + k): chr(0xFF41 + k) for k in range(0, 26, 2)} | {chr(0x61 + k): chr(0x1D41A + k) for k in range(1, 26, 4)} | {chr(0x41 + k): chr(0x24B6 + k) for k in range(26)}
+
+
+def fold_compatibility(spark, sf_dir):
+    """Texts in which letters stand in other forms fold to what the plain texts fold to."""
+    t = F.col("text")
+    for plain, form in FORMS.items():
+        t = F.replace(t, F.lit(plain), F.lit(form))
+    return _texts(spark, sf_dir).select(F.col("id").alias("doc_id"), F.sha2(text.canonical(t), 256).alias("canonical_sha"))
+
+
 def term_frequencies(spark, sf_dir):
     return _index(spark, sf_dir)
 
@@ -168,7 +184,7 @@ def neighbors_of_book(spark, sf_dir):
 
 def jaccard_prefix_300(spark, sf_dir):
     """The scalability run of the benchmark: books below an id, a parameter of that run."""
-    posts = written(_index(spark, sf_dir).where(F.col("book_id") < PREFIX), "postings")
+    posts = written(index.postings(_texts(spark, sf_dir).where(F.col("id") < PREFIX)), "postings")
     return similarity.build_graph(posts).select("a", "b", F.round("score", 12).alias("score"), "shared", "union_size")
 
 
@@ -237,7 +253,7 @@ def _in(lang):
 
 def _part_index(spark, sf_dir):
     """The state that these queries need, some books indexed and some pending: the Spanish ones have come last."""
-    return index.postings(_books(spark, sf_dir).where(~_in("es")).select("id", "text"))
+    return index.postings(_texts(spark, sf_dir).where(~_in("es")))
 
 
 def indexed_books(spark, sf_dir):
@@ -258,7 +274,7 @@ def list_books(spark, sf_dir):
 
 def _changed(spark, sf_dir):
     """Old and new postings: in the new ones every text has lost its words 'the' and gained 'added'."""
-    b = _books(spark, sf_dir).select("id", "text")
+    b = _texts(spark, sf_dir)
     new = b.withColumn("text", F.concat(F.regexp_replace(F.lower("text"), "\\bthe\\b", " "), F.lit(" added")))
     return index.postings(b), index.postings(new)
 
@@ -306,7 +322,7 @@ def catalog_merge(spark, sf_dir):
 
 
 def detect_language(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", language.detect(F.col("text")).alias("detected"))
+    return language.detect(spread(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
 
 
 def language_code(spark, sf_dir):
@@ -321,7 +337,7 @@ def metadata_extract(spark, sf_dir):
 
 
 _RUNS = [
-    canonical_text, tokenize, term_frequencies, document_frequency, book_index_stats, word_counts, min_word_gate, doc_fingerprint, postings_for_term, kmp_term_match, regex_term_match, simple_search_lexical, regex_search_lexical,
+    canonical_text, fold_compatibility, tokenize, term_frequencies, document_frequency, book_index_stats, word_counts, min_word_gate, doc_fingerprint, postings_for_term, kmp_term_match, regex_term_match, simple_search_lexical, regex_search_lexical,
     simple_search_page2, simple_search_ranked, eligible_terms, feature_counts, pair_intersections, jaccard_pairs, similarity_edges, similarity_rebuild_stats, weighted_degree, neighbors_of_book, jaccard_prefix_300, similarity_status,
     pagerank_10_iters, pagerank_scores, pagerank_top, pagerank_stats, pagerank_convergence, search_suggestions, regex_suggestions, book_suggestions, zipf_top1000, bench_features, indexed_books, pending_books, indexing_status,
     list_books, term_set_difference, df_delta, filename_label, basename_of_path, catalog_sync_diff, catalog_sync_counts, catalog_merge, detect_language, language_code, metadata_extract,

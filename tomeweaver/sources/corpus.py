@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df by ``key`` over as many partitions as there are cores, where its files give fewer; else as it is.
+
+    A few files of one row group each are read by as many tasks.  Their rows are moved before their texts are split into
+    words, and what is then grouped by ``key`` and more is not moved again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def books(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, lang) as books with their text."""
     label = F.lpad(F.col("doc_id").cast("string"), 7, "0")
