@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tomeweaver.operators import index, pagerank, recommend, search, similarity
-from tomeweaver.plans.engine import Engine
+from tomeweaver.plans import benchmark
+from tomeweaver.plans.engine import Engine, error_response
 from tomeweaver.plans.registry import oracle_sql, queries
-from tomeweaver.sources import catalog, corpus
+from tomeweaver.sources import catalog, corpus, store
 from tomeweaver.streaming.incremental import index_arrivals
 
 SF = "/root/testdata/sf0.001"
@@ -118,19 +119,126 @@ def test_engine_end_to_end(spark, tmp_path):
     texts = {1: "kazan walked kazan north river snow", 2: "kazan river snow wolf north", 3: "river snow wolf tent", 4: "12 34"}
     e = Engine(spark, str(tmp_path), corpus.Similarity(min_length=3, neighbors=2))
     e.load(some_books(spark, texts))
-    assert [r.id for r in e.index_all().collect()] == [4]
-    e.rebuild_graph()
+    assert sorted(r.id for r in e.index_all(2).collect()) == [] and len(e.store.folders("postings")) == 1
+    assert [r.id for r in e.index_all().collect()] == [4] and len(e.store.folders("postings")) == 2
+    # the dictionary that the batches have built is the one that all postings give
+    assert {(r.term, r.document_frequency) for r in e._table("terms").collect()} == {(r.term, r.document_frequency) for r in index.document_frequency(e._postings()).collect()}
+    counts = e.rebuild_graph()
+    assert counts["stored"] == e.graph_status()["edges"] > 0 and counts["candidates"] >= counts["qualifying"] >= counts["stored"]
     assert e.search("kazan").content.first().book_id == 1 and not e.search("kazan").pagerank_applied
+    assert not e.ranking_status()["available"] and e.ranking_status()["stale"]
     result = e.rebuild_ranks()
+    status = e.ranking_status()
+    assert status["available"] and not status["stale"] and status["iterations"] == result.iterations and status["node_count"] == 4
     page = e.search("KAZAN", size=1)
-    assert result.converged and page.total_elements == 2 and page.total_pages == 2 and page.pagerank_applied
-    assert e.search("zebra").total_pages == 0 and e.search("zebra").content.count() == 0
-    assert e.search_regex("r.v").total_elements == 3
-    assert e.suggestions("walked").count() >= 1 and e.book_suggestions(1).count() >= 1
+    assert result.converged and page.total_elements == 2 and page.total_pages == 2 and page.pagerank_applied and page.pagerank_weight == 0.15
+    assert [r.position for r in e.search("kazan", 1, 1).content.collect()] == [2]
+    assert e.search("zebra").total_pages == 0 and e.search("zebra").content.count() == 0 and not e.search("zebra").pagerank_applied
+    assert e.search_regex("r.v").total_elements == 3 and e.search_regex("r.v").matched_index_terms == 1
+    assert e.suggestions("walked").count() >= 1 and e.book_suggestions(1).count() >= 1 and e.neighbors(4).count() == 0
+    before = e.search("kazan").content.collect()
+    e.compact()
+    assert len(e.store.folders("postings")) == 1 and e.search("kazan").content.collect() == before
     e.rebuild_graph()
-    assert e.current_ranks() is None
+    assert e.current_ranks() is None and e.ranking_status()["stale"]
+    e.rebuild_ranks()
+    # a book indexed anew: the same postings, and what derives from them is gone
+    assert e.index_book(1) == {"unique_terms": 5, "total_tokens": 6, "added": 0, "removed": 0}
+    assert e.store.read("edges") is None and e.current_ranks() is None and e.search("kazan").total_elements == 2
+    with pytest.raises(RuntimeError):
+        e.index_book(4)
+    for call in (e.book, e.index_book, e.neighbors, e.book_suggestions):
+        with pytest.raises(LookupError):
+            call(99)
+    assert {(r.status, r.books) for r in e.count_by_status().collect()} == {("READY", 4)}
+    assert error_response(LookupError("No book 9")) == (404, {"error": "No book 9"})
+    assert [error_response(RuntimeError("x"), a)[0] for a in ("indexing", "ranking", "catalog", "search")] == [409, 400, 422, 400] and error_response(ValueError("x"))[0] == 400
+
+
+def test_a_book_that_is_not_ready_is_not_found(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.load(some_books(spark, {1: "one two", 2: "three four"}).withColumn("status", F.when(F.col("id") == 1, "READY").otherwise("NEW")))
+    e.index_all()
+    assert e.status().first().indexed_books == 1 and e.book(1).count() == 1
     with pytest.raises(LookupError):
-        e.book(99)
+        e.book(2)
+    with pytest.raises(RuntimeError):
+        e.index_book(2)
+
+
+def test_catalogue_generate_and_sync(spark, tmp_path):
+    root, path = tmp_path / "books", str(tmp_path / "catalog.csv")
+    root.mkdir()
+    english = "the cat and the mouse in the house with his friends for a feast that was not on the roof of the town "
+    (root / "a_river.txt").write_text("Title: The River\nAuthor: Jane Doe\nLanguage: French\n\n" + english * 50)
+    (root / "b.txt").write_text("THE ROAD\n\nby Jules Verne\n\nCHAPTER I\n\n" + english * 50)
+    e = Engine(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError):
+        e.sync_catalog(str(root), path, minimum=10)
+    with pytest.raises(ValueError, match="least is"):
+        e.sync_catalog(str(root), path)
+    sync = lambda prune=False: e._sync(str(root), path, prune, 100)
+    assert sync() == {"entries": 2, "inserted": 2, "updated": 0, "unchanged": 0, "deleted": 0, "graph_invalidated": True}
+    got = {r.storage_key: r for r in e._table("books").collect()}
+    assert (got["a_river.txt"].title, got["a_river.txt"].author, got["a_river.txt"].language) == ("The River", "Jane Doe", "fr")
+    assert (got["b.txt"].title, got["b.txt"].author, got["b.txt"].language) == ("THE ROAD", "Jules Verne", "en") and sorted(r.id for r in got.values()) == [1, 2]
+    e.index_all()
+    e.rebuild_graph()
+    assert sync() == {"entries": 2, "inserted": 0, "updated": 0, "unchanged": 2, "deleted": 0, "graph_invalidated": False} and e.store.read("edges") is not None
+    # what the catalogue says stays; a changed text loses its postings; ids stay
+    lines = open(path).read().replace("THE ROAD", "My Road")
+    open(path, "w").write(lines)
+    (root / "a_river.txt").write_text("Title: The River\n\n" + english * 60)
+    (root / "c.txt").write_text("plain " * 200)
+    assert sync() == {"entries": 3, "inserted": 1, "updated": 2, "unchanged": 0, "deleted": 0, "graph_invalidated": True}
+    now = {r.storage_key: r for r in e._table("books").collect()}
+    assert now["b.txt"].title == "My Road" and now["c.txt"].title == "c" and now["c.txt"].id == 3 and now["a_river.txt"].id == got["a_river.txt"].id
+    assert {r.book_id for r in e._postings().select("book_id").distinct().collect()} == {now["b.txt"].id} and e.store.read("edges") is None
+    (root / "b.txt").unlink()
+    assert sync()["deleted"] == 0 and e._table("books").count() == 3
+    assert sync(True)["deleted"] == 1 and e._table("books").count() == 2 and e._postings().isEmpty()
+    assert e.catalog_status(path) == {"entries": 2, "ready_books": 2, "indexed_books": 0}
+
+
+def test_graph_of_bounded_pairs_is_the_graph_of_all(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(b, f"term{t}", 1) for b in range(80) for t in {rng.randrange(200) for _ in range(rng.choice([3, 8, 40, 120]))}]
+    posts = spark.createDataFrame(rows, "book_id bigint, term string, occurrences int")
+    for s in (corpus.Similarity(max_df_ratio=1.0), corpus.Similarity(max_df_ratio=1.0, min_score=0.3, neighbors=2), corpus.Similarity(max_df_ratio=1.0, min_score=0.0)):
+        want = similarity.build_stats(posts, s).edges
+        assert sorted(similarity.build_graph(posts, s).collect()) == sorted(want.collect())
+
+
+def test_titles_with_odd_line_ends(tmp_path):
+    head = "storage_key,title,author,language,source_url\n"
+    assert catalog.parse_csv(head + "a.txt,one\u0085two\u2028three\x0bfour\x0cfive,,,\r\nb.txt,T,,,\rc.txt,U,,,")[0]["title"] == "one\u0085two\u2028three\x0bfour\x0cfive"
+
+
+def test_migration(spark):
+    b = spark.createDataFrame([(1, "/data/a/x.txt", "READY"), (2, "C:\\b\\y.txt", "READY"), (3, "z.txt", "FAILED")], "id bigint, local_path string, status string")
+    assert {(r.id, r.storage_key) for r in catalog.migrated(b).collect()} == {(1, "x.txt"), (2, "y.txt")}
+
+
+def test_benchmark_files(spark, tmp_path):
+    paths = benchmark.run(spark, SF, str(tmp_path))
+    lines = [open(p, encoding="utf-8").read().splitlines() for p in paths]
+    assert [x[0] for x in lines] == ["books,milliseconds", "iteration,delta", "kind,query,milliseconds", "rank,term,frequency"]
+    assert len(lines[1]) == 21 and len(lines[2]) == 11 and len(lines[3]) == 1001
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        store.shared_dir(Session)
 
 
 def test_sync_is_idempotent(spark):

@@ -103,26 +103,47 @@ def test_language_codes(spark):
     assert got == {"French": "fr", "fr": "fr", "deu": "de", "Francais": "fr", "Klingonish": None, None: None}
 
 
-@pytest.mark.parametrize(
-    "content, title, author",
-    [
-        ("Title: The Book\n  Of Things\nAuthor: Jane Doe\nLanguage: English\n\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\nText", "The Book Of Things", "Jane Doe"),
-        ("THE GREAT VOYAGE\n\nby Jules Verne\n\nCHAPTER I\n\nIt was a day.", "THE GREAT VOYAGE", "Jules Verne"),
-        ("The Project Gutenberg EBook of Emma, by Jane Austen\n\nThis eBook is for anyone\n", "Emma", "Jane Austen"),
-        ("it was a dark night and nothing else mattered.\n\nSo it went.", None, None),
-        ("The Quiet River\n\nBY\n\nMary Holt\n\nPreface\n\nmore", "The Quiet River", "Mary Holt"),
-        ("", None, None),
-    ],
-)
-def test_metadata(content, title, author):
-    m = metadata.metadata(content.encode())
-    assert (m["title"], m["author"]) == (title, author)
-
-
-def test_source_url():
-    assert metadata.source_url("Source: https://example.org/x\n") == "https://example.org/x"
-    assert metadata.source_url("Source: ftp://example.org/x\n[EBook #12]\n") == "https://www.gutenberg.org/ebooks/12"
-    assert metadata.source_url("Source: https://user@example.org/x\n") is None
+ENGLISH = "The people were in the house and she was with her family. He had not seen them before, but they would have their books on the table. This was what he had been waiting for. " * 10
+FRENCH = "La femme était dans la maison et elle avait un livre. Il ne savait pas ce que les autres avaient dit mais il se demandait pourquoi elle était venue avec ses enfants pour le voir. " * 10
+#: Openings of books: content, title, author, language (None: not looked at), address.
+OPENINGS = [
+    ("/\n\nThe War of the Worlds\n\nby H. G. Wells\n\nContents\n\nCHAPTER I\n\n" + ENGLISH, "The War of the Worlds", "H. G. Wells", "en", None),
+    ("Produced by Alice and the Online\nProofreading Team at https://www.pgdp.net\n\n_Transcriber's Notes_\n\nTypographical errors have been corrected.\n\nLA\n\nFEMME DU DIABLE\n\nPAR\n\nJoseph LAFON-LABATUT\n\nPRÉFACE\n\n" + FRENCH, "LA FEMME DU DIABLE", "Joseph LAFON-LABATUT", "fr", None),
+    ("\ufeff  Title: A Long Title\r\n    with a subtitle\r\n  Author: The Named Author\r\n  Language: Japanese\r\nSource_URL: https://example.org/books/42\r\n\r\n*** START OF THE PROJECT GUTENBERG EBOOK OTHER TITLE ***\r\nAnother Title\r\n\r\nby Somebody Else\r\n\r\n" + ENGLISH, "A Long Title with a subtitle", "The Named Author", "ja", "https://example.org/books/42"),
+    ("Title: First Title\n  Author: Jane Doe\nLanguage: English\n\n    This indented paragraph is prose.\n", "First Title", "Jane Doe", "en", None),
+    ("Title: First Title\n\n    Not part of the title\n\n", "First Title", None, None, None),
+    ("The Project Gutenberg eBook of The War of the Worlds, by H. G. Wells\n\nRelease date: January 1, 2000 [EBook #36]\nLanguage: English\n\n*** START OF THE PROJECT GUTENBERG EBOOK THE WAR OF THE WORLDS ***\n\n" + ENGLISH, "The War of the Worlds", "H. G. Wells", "en", "https://www.gutenberg.org/ebooks/36"),
+    ("The Project Gutenberg Etext of The Orange Fairy Book\nby Andrew Lang\n(#29 in our series by Andrew Lang)\n\nhttps://www.gutenberg.org/cache/epub/3027/pg3027.txt\n\nLanguage: English\n", "The Orange Fairy Book", "Andrew Lang", "en", "https://www.gutenberg.org/ebooks/3027"),
+    ("A Real Title\n\nCHAPTER I\n\nTitle: The Book They Were Reading\nAuthor: A Character\nLanguage: Japanese\nSource: https://example.org/unrelated\nby An Impostor\n\n" + ENGLISH, "A Real Title", None, "en", None),
+    ("Once upon a time there was a story.", None, None, None, None),
+    ("Texte libre", None, None, None, None),
+    ("A History of Books\n\nSource: javascript:alert(1)\n\nCHAPTER I\n\nProject Gutenberg's goal is more about selecting books for readers by a large margin.\n\n" + ENGLISH, "A History of Books", None, "en", None),
+    ("Produced by R. S.\n\nUntersuchungen über die radioaktiven Substanzen\n    Marie Curie\n    (übersetzt von W. Kaufmann)\n\nEinleitung.\n\n", "Untersuchungen über die radioaktiven Substanzen", "Marie Curie", None, None),
+    ("This etext was produced from a magazine.\n\nA Sequel to Another Story\n\nBy way of a mysterious tube, the travellers enter another world.\n\nThe Fifth-Dimension Tube\n\n_A Complete Novelette_\n\nBy Murray Leinster\n\nCHAPTER I\n\n", "The Fifth-Dimension Tube", "Murray Leinster", None, None),
+    ("ALL-STORY WEEKLY\n\nVOL. XC\n\nThe Pirate Woman\n\nby Captain Dingle\n\nContents\n\n", "The Pirate Woman", "Captain Dingle", None, None),
+    ("A Real Title\n\nPrinted and bound\nby A. Smith Publishing Company\n\nContents\n\n", "A Real Title", None, None, None),
+    ("THE ROAD\nTO THE SEA\n(translated by Jane Doe)\n\nCHAPTER I\n\n", "THE ROAD TO THE SEA", None, None, None),
+    ("The Project Gutenberg EBook of Emma, by Jane Austen\n\nThis eBook is for anyone\n", "Emma", "Jane Austen", None, None),
+    ("The Quiet River\n\nBY\n\nMary Holt\n\nPreface\n\nmore", "The Quiet River", "Mary Holt", None, None),
+    ("Œuvres de Quelqu'un\n\nmore text here", None, None, None, None),
+    ("Works of Several\n\nmore text here", None, None, None, None),
+    ("Page 12\n\nmore text here", None, None, None, None),
+    ("Source: ftp://example.org/x\n[EBook #12]\n", None, None, None, "https://www.gutenberg.org/ebooks/12"),
+    ("Source: https://user@example.org/x\n", None, None, None, None),
+    ("it was a dark night and nothing else mattered.\n\nSo it went.", None, None, None, None),
+    ("", None, None, None, None),
+]
+
+
+def test_metadata(spark):
+    rows = [(f"a/book_{k:04d}.txt", bytearray(x[0].encode())) for k, x in enumerate(OPENINGS)] + [("none.txt", None), ("bad.txt", bytearray(b"\xff\xfe Title\xc3"))]
+    files = spark.createDataFrame(rows, "storage_key string, content binary")
+    got = {r.storage_key: r for r in metadata.extract(files).collect()}
+    assert len(got) == len(rows)
+    for k, (content, title, author, _, url) in enumerate(OPENINGS):
+        r = got[f"a/book_{k:04d}.txt"]
+        assert (r.title, r.author, r.source_url) == (title, author, url), (content[:80], r.title, r.author, r.source_url)
+    assert got["none.txt"].title is None and got["bad.txt"].author is None
 
 
 def test_filename_label(spark):

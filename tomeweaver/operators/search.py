@@ -24,6 +24,12 @@ def lexical(index: DataFrame, match: Column) -> DataFrame:
     return index.where(match).groupBy("book_id").agg(F.sum("occurrences").alias("lexical_score"), F.count("*").alias("matched_terms"))
 
 
+def lexical_of(postings: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
+    """book_id, lexical_score, matched_terms of these terms(term); ``few`` says that they may be broadcast."""
+    found = postings.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    return found.groupBy("book_id").agg(F.sum("occurrences").alias("lexical_score"), F.count("*").alias("matched_terms"))
+
+
 def ranked(candidates: DataFrame, books: DataFrame, ranks: DataFrame | None = None, settings: Ranking = Ranking()) -> DataFrame:
     """Candidates with normalised and final scores.  ranks(book_id, score) are current scores, or None if there are none."""
     lw, pw = settings.weights

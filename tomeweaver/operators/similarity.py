@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.corpus import STOP_WORDS, Similarity
+from ..sources.store import written
 from .index import document_frequency
 
 
@@ -50,13 +53,59 @@ def top_edges(pairs: DataFrame, settings: Similarity = Similarity()) -> DataFram
     return kept.select("a", "b", "score", "shared", "union_size").distinct()
 
 
-def build_graph(index: DataFrame, settings: Similarity = Similarity()) -> DataFrame:
-    """The edges of the whole index; an index of less than two books is refused."""
+@dataclass
+class Build:
+    candidates: int
+    qualifying: int
+    edges: DataFrame
+
+
+def bounded_features(features: DataFrame, counts: DataFrame, settings: Similarity = Similarity()) -> DataFrame:
+    """features with each book's own count (n), so that pairs too unlike in size to reach the least score are never made."""
+    return features.join(counts.select("book_id", F.col("features").alias("n")), "book_id")
+
+
+def qualifying_pairs(features: DataFrame, settings: Similarity = Similarity()) -> DataFrame:
+    """a, b, score, shared, union_size of the pairs that reach the least score; features is a table, read twice.
+
+    A pair's score is at most the smaller count over the larger, so a term's list, sorted by count, is paired within that bound.
+    """
+    f = bounded_features(features, feature_counts(features))
+    lists = f.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("n", "book_id"))).alias("books"))
+    left = lists.select("books", F.posexplode("books").alias("i", "x"))
+    rest = F.slice("books", F.col("i") + 2, F.greatest(F.size("books") - F.col("i") - 1, F.lit(0)))
+    near = F.filter(rest, lambda y: y["n"] * F.lit(settings.min_score) <= F.col("x.n"))
+    pairs = left.select(F.col("x.book_id").alias("p"), F.col("x.n").alias("np"), F.explode(near).alias("y"))
+    pairs = pairs.select(F.least("p", "y.book_id").alias("a"), F.greatest("p", "y.book_id").alias("b"), (F.col("np") + F.col("y.n")).alias("both"))
+    shared = pairs.groupBy("a", "b").agg(F.count("*").cast("int").alias("shared"), F.first("both").alias("both")).where(F.col("shared") >= settings.min_shared)
+    scored = shared.withColumn("union_size", (F.col("both") - F.col("shared")).cast("int")).withColumn("score", F.col("shared") / F.col("union_size"))
+    return scored.where(F.col("score") >= settings.min_score).select("a", "b", "score", "shared", "union_size")
+
+
+def _features(index: DataFrame, settings: Similarity) -> DataFrame:
     n = index.select("book_id").distinct().count()
     if n < 2:
         raise ValueError("A graph needs two indexed books at least")
-    features = feature_postings(index, eligible_terms(index, settings, n))
-    return top_edges(scored_pairs(pair_intersections(features, settings.min_shared), feature_counts(features)), settings)
+    return written(feature_postings(index, eligible_terms(index, settings, n)), "graph-features")
+
+
+def build_graph(index: DataFrame, settings: Similarity = Similarity()) -> DataFrame:
+    """The edges of the whole index; an index of less than two books is refused."""
+    return top_edges(qualifying_pairs(_features(index, settings), settings), settings)
+
+
+def build_stats(index: DataFrame, settings: Similarity = Similarity()) -> Build:
+    """The same, with the numbers of pairs that share enough terms and of those that reach the least score."""
+    features = _features(index, settings)
+    pairs = written(scored_pairs(pair_intersections(features, settings.min_shared), feature_counts(features)), "graph-pairs")
+    r = pairs.agg(F.count("*").alias("c"), F.count_if(F.col("score") >= settings.min_score).alias("q")).first()
+    return Build(r.c, r.q, top_edges(pairs, settings))
+
+
+def status(edges: DataFrame) -> DataFrame:
+    """edges and connected_books."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("n")).agg(F.countDistinct("n").alias("connected_books"))
+    return edges.agg(F.count("*").alias("edges")).crossJoin(ends)  # one row each
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

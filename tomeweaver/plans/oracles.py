@@ -98,6 +98,13 @@ best as (select id, max_by(code, score) code, max(score) score, max_by(different
 select doc_id, case when letters >= 80 and different >= 5 and score >= 10 and score >= total * 0.05 and score > runner * 1.2 then code end detected from whole left join best using (id)"""
 
 
+def _language_code() -> str:
+    names = {"en": ["English", "eng", "anglais"], "fr": ["French", "fra", "Français", "francais"], "de": ["German", "deu", "DEUTSCH", "allemand"], "es": ["Spanish", "spa", "español", "espagnol"]}
+    rows = ", ".join(f"({_q(c)}, {_q(n)})" for c, ns in names.items() for n in ns)
+    return f"""with l as (select distinct lang from documents where lang is not null), names(code, given) as (values {rows})
+select given, code language_code from names join l on lang = code union all select upper(lang), lang from l union all select ' ' || lang || ' ', lang from l union all select lang || 'x', null from l"""
+
+
 ORACLES = {
     "canonical_text": f"select doc_id, sha256({_canonical('text')}) canonical_sha from documents",
     "fold_compatibility": f"select doc_id, sha256({_canonical('text')}) canonical_sha from documents",
@@ -147,4 +154,8 @@ ORACLES = {
     "catalog_sync_counts": f"with {_sync(True)} select action, count(*) books, count(*) filter (dirty) dirty from diff group by action",
     "catalog_merge": f"with {BOOKS} select storage_key, case when language is distinct from 'fr' and id % 2 = 0 then 'Own ' || title else 'Found ' || title end title, case when language is distinct from 'fr' and id % 5 = 0 then 'Somebody' else 'Anon' end author, language, source_url from books",
     "detect_language": _detect(),
+    "language_code": _language_code(),
+    "metadata_extract": """select doc_id, case lang when 'en' then 'A ' || doc_id || ' of Things' when 'fr' then 'LE VOYAGE ' || doc_id when 'de' then 'Emma ' || doc_id else 'Strahlen ' || doc_id end title,
+  case lang when 'en' then 'Jane Doe' when 'fr' then 'Jules Verne' when 'de' then 'Jane Austen' else 'Marie Curie' end author, case lang when 'en' then 'English' end language_name,
+  case lang when 'en' then 'https://example.org/' || doc_id when 'de' then 'https://www.gutenberg.org/ebooks/1' || doc_id end source_url from documents""",
 }

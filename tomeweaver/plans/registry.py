@@ -15,7 +15,7 @@ from ..functions import language, metadata, text
 from ..operators import index, pagerank, recommend, search, similarity
 from ..sources import catalog, corpus
 from ..sources.corpus import STOP_WORDS, Similarity, books, spread, table
-from ..sources.store import written
+from ..sources.store import still_written, written
 
 WORD, REGEX, TERM = "the", "m(an|en)", "thing"
 MIN_WORDS, PREFIX = 500, 300
@@ -33,8 +33,30 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings(_texts(spark, sf_dir))
 
 
+#: Stored indexes of this process, by application and corpus: postings and dictionary, dealt out and sorted by term.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED or not still_written(_STORED[key]):
+        _STORED[key] = written(build(), name)
+    return _STORED[key]
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus's postings as a stored table, built by the first query of a session that asks for them, as an index is."""
+    n = spark.sparkContext.defaultParallelism
+    return _stored(spark, sf_dir, "postings", lambda: _index(spark, sf_dir).repartitionByRange(n, "term").sortWithinPartitions("term"))
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored terms with their document frequencies."""
+    return _stored(spark, sf_dir, "terms", lambda: index.document_frequency(stored_postings(spark, sf_dir)).sortWithinPartitions("term"))
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = written(_index(spark, sf_dir), "postings")
+    posts = stored_postings(spark, sf_dir)
     return similarity.feature_postings(posts, similarity.eligible_terms(posts))
 
 
@@ -44,7 +66,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(similarity.build_graph(written(_index(spark, sf_dir), "postings")), "edges")
+    return written(similarity.build_graph(stored_postings(spark, sf_dir)), "edges")
 
 
 def _ranks(spark: SparkSession, sf_dir: str, edges: DataFrame, **settings) -> pagerank.Result:
@@ -53,7 +75,7 @@ def _ranks(spark: SparkSession, sf_dir: str, edges: DataFrame, **settings) -> pa
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    posts = written(_index(spark, sf_dir), "postings")
+    posts = stored_postings(spark, sf_dir)
     edges = written(similarity.build_graph(posts), "edges")
     found = search.lexical(posts, search.contains(F.col("term"), WORD))
     return search.ranked(found, _books(spark, sf_dir), _ranks(spark, sf_dir, edges).scores), edges
@@ -117,27 +139,27 @@ def doc_fingerprint(spark, sf_dir):
 
 
 def postings_for_term(spark, sf_dir):
-    return index.postings_for(_index(spark, sf_dir), TERM)
+    return index.postings_for(stored_postings(spark, sf_dir), TERM)
 
 
 def kmp_term_match(spark, sf_dir):
-    return index.document_frequency(_index(spark, sf_dir)).where(search.contains(F.col("term"), "Man")).select("term")
+    return dictionary(spark, sf_dir).where(search.contains(F.col("term"), "Man")).select("term")
 
 
 def regex_term_match(spark, sf_dir):
-    return index.document_frequency(_index(spark, sf_dir)).where(search.matches(spark, F.col("term"), REGEX)).select("term")
+    return dictionary(spark, sf_dir).where(search.matches(spark, F.col("term"), REGEX)).select("term")
 
 
 def simple_search_lexical(spark, sf_dir):
-    return search.lexical(_index(spark, sf_dir), search.contains(F.col("term"), WORD))
+    return search.lexical(stored_postings(spark, sf_dir), search.contains(F.col("term"), WORD))
 
 
 def regex_search_lexical(spark, sf_dir):
-    return search.lexical(_index(spark, sf_dir), search.matches(spark, F.col("term"), REGEX))
+    return search.lexical(stored_postings(spark, sf_dir), search.matches(spark, F.col("term"), REGEX))
 
 
 def simple_search_page2(spark, sf_dir):
-    rows = search.ranked(search.lexical(_index(spark, sf_dir), search.contains(F.col("term"), WORD)), _books(spark, sf_dir))
+    rows = search.ranked(search.lexical(stored_postings(spark, sf_dir), search.contains(F.col("term"), WORD)), _books(spark, sf_dir))
     return search.page_of(rows, 1, 20).select("book_id", "title", "lexical_score", "matched_terms", F.round("final_score", 9).alias("final_score"))
 
 
@@ -147,7 +169,7 @@ def simple_search_ranked(spark, sf_dir):
 
 
 def eligible_terms(spark, sf_dir):
-    return similarity.eligible_terms(written(_index(spark, sf_dir), "postings"))
+    return similarity.eligible_terms(stored_postings(spark, sf_dir))
 
 
 def feature_counts(spark, sf_dir):
@@ -167,9 +189,8 @@ def similarity_edges(spark, sf_dir):
 
 
 def similarity_rebuild_stats(spark, sf_dir):
-    p = written(_pairs(spark, sf_dir), "pairs")
-    all_ = p.agg(F.count("*").alias("candidates"), F.count_if(F.col("score") >= Similarity().min_score).alias("qualifying"))
-    return all_.crossJoin(similarity.top_edges(p).agg(F.count("*").alias("stored")))  # one row each
+    b = similarity.build_stats(stored_postings(spark, sf_dir))
+    return b.edges.agg(F.count("*").alias("stored")).select(F.lit(b.candidates).cast("bigint").alias("candidates"), F.lit(b.qualifying).cast("bigint").alias("qualifying"), "stored")
 
 
 def weighted_degree(spark, sf_dir):
@@ -189,9 +210,7 @@ def jaccard_prefix_300(spark, sf_dir):
 
 
 def similarity_status(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    ends = e.select(F.explode(F.array("a", "b")).alias("n")).agg(F.countDistinct("n").alias("connected_books"))
-    return e.agg(F.count("*").alias("edges")).crossJoin(ends)  # one row each
+    return similarity.status(_edges(spark, sf_dir))
 
 
 def pagerank_10_iters(spark, sf_dir):
@@ -224,7 +243,7 @@ def search_suggestions(spark, sf_dir):
 
 
 def regex_suggestions(spark, sf_dir):
-    posts = written(_index(spark, sf_dir), "postings")
+    posts = stored_postings(spark, sf_dir)
     rows = search.ranked(search.lexical(posts, search.matches(spark, F.col("term"), REGEX)), _books(spark, sf_dir))
     return _flat(recommend.suggestions(written(_seeds(rows), "seeds"), written(similarity.build_graph(posts), "edges"), _books(spark, sf_dir)))
 
@@ -326,14 +345,25 @@ def detect_language(spark, sf_dir):
 
 
 def language_code(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang").distinct()
-    return language.with_code(d, "lang", language.language_codes(spark))
+    """Codes and names of the corpus's languages, in several spellings."""
+    d = table(spark, sf_dir, "documents").select("lang").distinct().where("lang is not null")
+    names = F.explode(F.array(*(F.when(F.col("lang") == c, F.lit(n)) for c, ns in LANGUAGE_NAMES.items() for n in ns), F.upper("lang"), F.concat(F.lit(" "), "lang", F.lit(" ")), F.concat("lang", F.lit("x"))))
+    return language.with_code(d.select(names.alias("name_")).where("name_ is not null"), "name_", language.language_codes(spark)).select(F.col("name_").alias("given"), "language_code")
+
+
+#: Names of the corpus's languages, as the query asks for them.
+LANGUAGE_NAMES = {"en": ["English", "eng", "anglais"], "fr": ["French", "fra", "Français", "francais"], "de": ["German", "deu", "DEUTSCH", "allemand"], "es": ["Spanish", "spa", "español", "espagnol"]}
 
 
 def metadata_extract(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    content = F.concat(F.lit("Title: A "), F.col("doc_id").cast("string"), F.lit("\nAuthor: B\n\n"), F.coalesce("text", F.lit(""))).cast("binary")
-    return d.select("doc_id", metadata.extract(content).alias("m")).select("doc_id", "m.title", "m.author")
+    """Openings of four layouts, one a language, before the texts: fields, a title page, a banner, a translator's credit."""
+    n, lang = F.col("doc_id").cast("string"), F.col("lang")
+    front = F.when(lang == "en", F.concat(F.lit("Title: A "), n, F.lit("\n  of Things\nAuthor: Jane Doe\nLanguage: English\nSource: https://example.org/"), n, F.lit("\n\n")))
+    front = front.when(lang == "fr", F.concat(F.lit("LE VOYAGE "), n, F.lit("\n\nPAR\n\nJules Verne\n\nPréface.\n\n")))
+    front = front.when(lang == "de", F.concat(F.lit("The Project Gutenberg eBook of Emma "), n, F.lit(", by Jane Austen\n\n[EBook #1"), n, F.lit("]\n\n*** START OF THE PROJECT GUTENBERG EBOOK EMMA ***\n\n")))
+    front = front.otherwise(F.concat(F.lit("Produced by A. B.\n\nStrahlen "), n, F.lit("\n   Marie Curie\n   (übersetzt von W. K.)\n\nEinleitung.\n\n")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(front, F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+    return metadata.extract(spread(d, "doc_id")).select("doc_id", "title", "author", "language_name", "source_url")
 
 
 _RUNS = [

@@ -5,13 +5,17 @@ from __future__ import annotations
 import csv
 import io
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import language, metadata
 from ..functions.metadata import filename_label
 from ..functions.text import word_count
+from .corpus import READY
 
 COLUMNS = ["storage_key", "title", "author", "language", "source_url"]
 SCHEMA = ", ".join(f"{c} string" for c in COLUMNS)
@@ -40,18 +44,19 @@ def resolve(root: str, key: str | None) -> Path:
 def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """storage_key, content, content_bytes, content_sha256, text, valid (UTF-8 and not too long) of the files under a root that Spark reads."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split(":")[-1].lstrip("/")
     ok = (F.col("length") <= max_bytes) & F.is_valid_utf8(F.col("content").cast("string"))
-    return f.select(F.regexp_replace("path", "^.*?" + _quoted(base) + "/+", "").alias("storage_key"), "content", F.col("length").alias("content_bytes"), F.sha2("content", 256).alias("content_sha256"), F.when(ok, F.col("content").cast("string")).alias("text"), ok.alias("valid"))
+    return f.select(key_of("path", root).alias("storage_key"), "content", F.col("length").alias("content_bytes"), F.sha2("content", 256).alias("content_sha256"), F.when(ok, F.col("content").cast("string")).alias("text"), ok.alias("valid"))
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
+def key_of(path: str, root: str) -> Column:
+    """A file's key: its path under the root."""
+    return F.regexp_replace(path, "^.*?\\Q" + root.rstrip("/").split(":")[-1].lstrip("/") + "\\E/+", "")
 
 
 def parse_csv(text: str) -> list[dict[str, str | None]]:
     """Entries of a catalogue, strictly: the exact header, five fields a line, sound quotes, a key and a title, no key twice."""
-    lines = text.removeprefix("﻿").splitlines()
+    # other characters that Python takes for a line's end may stand in a title
+    lines = re.split("\r\n|\r|\n", text.removeprefix("\ufeff"))
     if not lines or lines[0].strip() != ",".join(COLUMNS):
         raise ValueError("The catalogue's header is not " + ",".join(COLUMNS))
     out, seen = [], set()
@@ -75,8 +80,6 @@ def parse_csv(text: str) -> list[dict[str, str | None]]:
 
 def _outside_quotes(line: str) -> str:
     """The line's unquoted fields; a quote among them is stray."""
-    import re
-
     return re.sub(r'(?:^|(?<=,))"(?:[^"]|"")*"(?=,|$)', "", line)
 
 
@@ -124,7 +127,48 @@ def merged(inferred: DataFrame, previous: DataFrame, limit: int = MAX_BOOKS) ->
     return j.select("storage_key", F.coalesce(stated, "title", filename_label(F.col("storage_key"))).alias("title"), *(F.coalesce(blank(F.col(f"old_{c}")), F.col(c)).alias(c) for c in COLUMNS[2:]))
 
 
+def inferred(files: DataFrame) -> DataFrame:
+    """files(storage_key, content) as entries: what each opening says; the language by its name, or else by its words."""
+    d = metadata.extract(files.select("storage_key", "content"))
+    named = language.with_code(d.select("storage_key", "title", "author", "language_name", "source_url"), "language_name", language.language_codes(files.sparkSession))
+    detected = language.detect(d, "storage_key", "opening")
+    title = F.coalesce("title", filename_label(F.col("storage_key")))
+    return named.join(detected, "storage_key").select("storage_key", title.alias("title"), "author", F.coalesce("language_code", "detected").alias("language"), "source_url")
+
+
+def generate(spark: SparkSession, root: str, path: str) -> dict[str, int | bool]:
+    """Writes the catalogue of the files under a root that Spark reads: a new one, or the old one with its blanks filled and keys of lost files gone."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(root)
+    entries = merged(inferred(files.select(key_of("path", root).alias("storage_key"), "content")), read_csv(spark, path))
+    rows = [r.asDict() for r in entries.orderBy("storage_key").collect()]  # MAX_BOOKS at most, checked by ``merged``
+    return {"books": len(rows), "changed": write_csv_if_changed(path, rows)}
+
+
+def book_rows(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries with their files' text, hash, bytes and words; a file that is missing or unreadable, or too short, is an error in ``checked``."""
+    f = files.select("storage_key", "content_sha256", "content_bytes", "text", "valid")
+    return entries.join(f, "storage_key", "left").withColumn("word_count", word_count(F.col("text"))).withColumn("status", F.lit(READY))
+
+
+def checked(rows: DataFrame, minimum: int = MIN_WORDS) -> DataFrame:
+    """rows as they are, refused if there are none or too many, or if one of them has no sound file of enough words."""
+    n = rows.count()
+    if n == 0 or n > MAX_BOOKS:
+        raise ValueError(f"The catalogue has {n} books; it must have from 1 to {MAX_BOOKS}")
+    bad = rows.where(~F.coalesce("valid", F.lit(False)) | (F.col("word_count") < minimum)).orderBy("storage_key").first()
+    if bad is not None:
+        raise ValueError(f"Book {bad.storage_key} " + (f"has {bad.word_count} words, the least is {minimum}" if bad.valid else "has no readable file"))
+    return rows
+
+
+def migrated(books: DataFrame, path: str = "local_path") -> DataFrame:
+    """Books of an older catalogue: the path's last part becomes the key, and only READY books stay."""
+    return books.where(F.col("status") == READY).withColumn("storage_key", basename(F.col(path))).drop(path)
+
+
 FOLLOWED = ["title", "author", "language", "source_url"]
+#: Compared too where both tables have them.
+COUNTED = ["word_count", "content_bytes"]
 
 
 def sync_diff(books: DataFrame, catalog: DataFrame, prune: bool = False) -> DataFrame:
@@ -132,11 +176,12 @@ def sync_diff(books: DataFrame, catalog: DataFrame, prune: bool = False) -> Data
 
     books and catalog: storage_key, title, author, language, source_url, content_sha256.
     """
-    b = books.select(F.col("storage_key").alias("b_key"), *(F.col(c).alias(f"b_{c}") for c in (*FOLLOWED, "content_sha256")))
+    followed = FOLLOWED + [c for c in COUNTED if c in books.columns and c in catalog.columns]
+    b = books.select(F.col("storage_key").alias("b_key"), *(F.col(c).alias(f"b_{c}") for c in (*followed, "content_sha256")))
     j = catalog.join(b, F.col("storage_key") == F.col("b_key"), "full_outer")
     text_same = F.col("content_sha256").eqNullSafe(F.col("b_content_sha256"))
     same = text_same
-    for c in FOLLOWED:
+    for c in followed:
         same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
     action = F.when(F.col("b_key").isNull(), "insert").when(F.col("storage_key").isNull(), "delete" if prune else "keep").when(same, "unchanged").otherwise("update")
     dirty = (action == "delete") | ((action == "update") & ~text_same)
@@ -148,9 +193,17 @@ def sync_counts(diff: DataFrame) -> DataFrame:
 
 
 def synced(books: DataFrame, catalog: DataFrame, diff: DataFrame) -> DataFrame:
-    """The books after a synchronisation; catalog holds full rows."""
+    """The books after a synchronisation: kept ones as they are, changed ones under their old id, new ones with ids behind the largest.
+
+    books and catalog hold full rows, catalog without ids; new ids go by key, over MAX_BOOKS rows at most.
+    """
     kept = books.join(diff.where(F.col("action").isin("unchanged", "keep")).select("storage_key"), "storage_key", "left_semi")
-    return kept.unionByName(catalog.join(diff.where(F.col("action").isin("insert", "update")).select("storage_key"), "storage_key", "left_semi"))
+    ids = books.select("storage_key", "id")
+    top = books.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top_"))  # one row
+    changed = catalog.join(diff.where(F.col("action") == "update").select("storage_key"), "storage_key", "left_semi").join(ids, "storage_key")
+    new = catalog.join(diff.where(F.col("action") == "insert").select("storage_key"), "storage_key", "left_semi")
+    new = new.crossJoin(F.broadcast(top)).withColumn("id", F.col("top_") + F.row_number().over(W.orderBy("storage_key"))).drop("top_")
+    return kept.unionByName(changed.select(kept.columns)).unionByName(new.select(kept.columns))
 
 
 def too_short(rows: DataFrame, minimum: int = MIN_WORDS) -> DataFrame:
@@ -165,5 +218,3 @@ def basename(path: Column) -> Column:
 def take_long_texts(texts: DataFrame, n: int = 1664, minimum: int = MIN_WORDS) -> DataFrame:
     """Up to n texts of enough words, for a sample corpus (a limit by purpose)."""
     return texts.where(word_count(F.col("text")) >= minimum).limit(n)
-
-
