@@ -444,12 +444,51 @@ def test_toxicity_learns_from_rare_toxic_labels(spark):
     d = frame(spark, [(k, t, "en", "a") for k, t in corpus + bad])
     labels = spark.createDataFrame([(k, 0) for k, _ in corpus] + [(k, 1) for k, _ in bad[:40]], "doc_id long, toxic int")
     model = toxicity.fit(d, labels, calibration=20)
-    assert model.toxic is not None
+    assert model.fitted
     got = {r.doc_id: r.predicted for r in toxicity.toxicity(d, model).collect()}
     unseen = [got[k] for k, _ in bad[40:]]
     assert sum(unseen) >= 0.9 * len(unseen) and sum(got[k] for k, _ in corpus) <= 0.01 * len(corpus)
 
 
+def brute_kneser_ney(classes, words):
+    """Log ratio of each word, from the definition, with dictionaries."""
+
+    def level(counts, x, lower):
+        n = Counter(counts.values())
+        d = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        return (max(counts.get(x, 0) - d, 0) + d * len(counts) * lower) / sum(counts.values())
+
+    shown = [Counter(w for _, w in {(t[k - 1] if k else None, t[k]) for t in texts for k in range(len(t))}) for texts in classes]
+    shared = Counter(w for c in shown for w in c)
+    lower = {w: level(shared, w, 1 / (len(shared) + 1)) for w in words}
+    return [math.log(level(shown[0], w, lower[w]) / level(shown[1], w, lower[w])) for w in words]
+
+
+def test_toxicity_is_kneser_ney():
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(30)]
+    classes = [[[rng.choice(vocab[a : a + 22]) for _ in range(rng.randrange(0, 9))] for _ in range(12)] for a in (0, 8)]
+    classes[0].append(classes[0][3])  # a copy counts once
+    hashed = lambda t: np.array([tb.hash_of(w) for w in t], np.uint64)
+    m = toxicity.Model(*toxicity.language_models(*([hashed(t) for t in c] for c in classes)), np.zeros(2), 0.5)
+    assert np.allclose(m.p.sum(0), 1)  # over all words and one unknown
+    for text in (["w1", "w20", "new", "w3", "w29", "w29"], vocab, classes[0][2], ["new"]):
+        h = hashed(text)
+        got, want = toxicity.ratios(h, m), brute_kneser_ney(classes, text)
+        assert np.allclose(got, want)
+        if len(h):
+            assert math.isclose(toxicity.measure(h, np.array([0, len(h)]), m)[0], np.mean(sorted(want, reverse=True)[: toxicity.TELLING]))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    # one id, labelled toxic, has most of the rows: many texts, and one of them many times
+    corpus = toxic_corpus(600)
+    rows = [(k, t, "en", "a") for k, t, _ in corpus] + [(600 * 10**6, f"{t} {k}", "en", "a") for k, (_, t, b) in enumerate(corpus) if b for _ in range(30)]
+    labels = [(k, int(b)) for k, _, b in corpus] + [(600 * 10**6, 1)]
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels * 2, "doc_id long, toxic int"), sample=60, calibration=30)
+    assert model.fitted and len(model.words) < 60 * 130 * 2
+
+
 def on_duckdb(spark, sql, **tables):
     con = duckdb.connect()
     for name, df in tables.items():
