@@ -70,7 +70,7 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_join, op3_languag
 TOPK_SQL = """
 with v as (select vec_id, [floor(64.0::double * x::double)::bigint for x in embedding] e from embeddings
   where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
-s as (select q.vec_id query_id, c.vec_id, list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)])::bigint score
+s as (select q.vec_id query_id, c.vec_id, coalesce(list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)]), 0)::bigint score
   from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
 select query_id, rank::integer as rank, vec_id, score from r where rank <= 20"""
