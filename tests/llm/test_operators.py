@@ -196,6 +196,37 @@ def test_language_id_rejects_other_languages_and_noise(spark):
     assert [got[k] for k in range(len(got))] == [True] * len(far) + [False] * len(near)
 
 
+def test_language_id_is_the_nearest_centroid(spark, sf):
+    # cosines by dictionaries of trigrams, from the model's centroids and weights
+    model = language_id.fit(sf)
+    rows = sf.select("doc_id", "text").limit(60).collect()
+    got = {r.doc_id: r for r in language_id.language_id(spark.createDataFrame(rows), model).collect()}
+    for r in rows:
+        b = [x if x >= 0x80 else ord(chr(x).lower()) if chr(x).isalpha() else 0x20 for x in r.text.encode()]
+        tri = Counter(((x << 16 | y << 8 | z) * 2654435761 % 2**32) >> 20 for x, y, z in zip(b, b[1:], b[2:], strict=False) if (x, y, z).count(0x20) < 2)
+        v = {d: math.log1p(c) * float(model.idf[d]) for d, c in tri.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        cos = [sum(x * float(c[d]) for d, x in v.items()) / norm for c in model.centroids]
+        best = int(np.argmax(cos))
+        assert got[r.doc_id].lang_pred == model.langs[model.owner[best]] and math.isclose(got[r.doc_id].similarity, max(cos), abs_tol=1e-4)
+
+
+def test_language_id_sample_is_bounded(spark, sf, monkeypatch):
+    seen = []
+    kmeans = language_id.held_centroids
+    monkeypatch.setattr(language_id, "held_centroids", lambda x: (seen.append(len(x)), kmeans(x))[1])
+    some = sf.limit(200)
+    hot = some.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("doc_id", F.lit(7).cast("long")).withColumn("text", F.concat("text", F.col("k").cast("string"))).drop("k")
+    same = some.limit(1).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5000)))).drop("k")
+    model = language_id.fit(some.unionByName(hot).unionByName(same), sample=50)
+    assert len(seen) == len(model.langs) and max(seen) <= 100  # 13,200 rows
+    seen.clear()
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of language "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("l"), (F.col("id") % 1500).cast("string")).alias("lang"))
+    monkeypatch.setattr(language_id, "SAMPLE_ALL", 300)
+    monkeypatch.setattr(language_id, "MAX_LANGS", 100)
+    assert len(language_id.fit(many).langs) <= 100 and sum(seen) <= 300
+
+
 def test_lm_score_base_columns(spark, docs, texts):
     # a condition that is null counts as false: such rows are neither trained on nor held out
     model, counts = lm_score.fit(docs, F.coalesce(F.col("doc_id") % 7 != 2, F.lit(False)), 3)
@@ -534,7 +565,7 @@ def test_seats_are_highest_quotients(spark):
         assert got == {k: want[k] for k in range(15)}
 
 
-@pytest.mark.parametrize("shard, block, leaf", [(16384, 4096, 256), (40, 2, 8)])
+@pytest.mark.parametrize("shard, block, leaf", [(16384, 4096, 256), (20, 2, 8)])
 def test_topk(spark, monkeypatch, shard, block, leaf):
     monkeypatch.setattr(topk, "SHARD", shard)
     monkeypatch.setattr(topk, "BLOCK", block)
@@ -554,6 +585,30 @@ def test_topk(spark, monkeypatch, shard, block, leaf):
     assert found == {q: x for q, x in want.items() if x}
 
 
+def test_a_query_opens_only_nodes_that_its_bound_allows(monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 40, (16, 8))
+    x = np.floor(np.repeat(centres, 40, 0) + rng.normal(0, 1, (640, 8)))
+    ids = np.arange(640)
+    tree = topk.BallTree(x, ids, 20)
+    assert len(tree.start) > 32 and (tree.child[0] >= 0).all() and sorted(tree.ids.tolist()) == ids.tolist()
+    for n in range(len(tree.start)):  # every row lies in its node's ball, and children share their parent's rows
+        rows = tree.x[tree.start[n] : tree.end[n]]
+        assert np.sqrt(((rows - tree.centre[n]) ** 2).sum(1)).max() <= tree.radius[n] + 1e-9
+        if tree.child[n, 0] >= 0:
+            assert {tree.start[n], tree.end[n]} == {tree.start[tree.child[n]].min(), tree.end[tree.child[n]].max()}
+    opened = []
+    exact = topk.exact_products
+    monkeypatch.setattr(topk, "exact_products", lambda q, y: (opened.append(len(q) * len(y)), exact(q, y))[1])
+    s, i = topk.search(tree, x[::10], ids[::10], 5, np.full(64, topk.NEVER))
+    for a, row in enumerate(range(0, 640, 10)):
+        want = sorted((-int(p), c) for c, p in enumerate(x @ x[row]) if c != row)[:5]
+        assert list(zip((-s[a]).tolist(), i[a].tolist(), strict=True)) == want
+    assert sum(opened) < 0.3 * 64 * 640
+    none, _ = topk.search(tree, x[:3], ids[:3], 5, np.full(3, 10**9))
+    assert (none == topk.NEVER).all()
+
+
 def test_exact_products_of_large_integers():
     q = np.array([[2.0**60, 3.0]])
     assert topk.exact_products(q, np.array([[1.0, 2.0]])).tolist() == [[2**60 + 6]]

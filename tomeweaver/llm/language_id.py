@@ -8,6 +8,11 @@ language for texts of as many distinct trigrams: a share of a low quantile of th
 training texts, and of their beginnings, that have about as many.  Odd texts that
 would hold a centroid of their own have no part in one, as noise lies close to it.
 
+The sample is of rows, not of ids: those of a language whose hash of id and text is low enough for about as many as are
+wanted, each such text once.  An id or a text that stands in many rows therefore gives no more than its share, no
+task gathers a language's rows, and with many languages each gives fewer texts, so that all of them stay within
+``SAMPLE_ALL``; languages beyond the ``MAX_LANGS`` most frequent are not learned.
+
 Nulls: null text or a text without letters is ``und`` with score 0 and is
 rejected; null doc_id stays null; rows with a null lang are not learned from.
 With nothing to learn from, every row is ``und``.  Ties between languages go to
@@ -22,14 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
 
 DIMS = 4096
-#: Bound on the labelled sample, in texts of each language, and centroids of each language.
-SAMPLE_PER_LANG, CENTROIDS = 400, 4
+#: Bounds on the labelled sample: texts of each language and of all (about, as a hash picks them), and languages; centroids of each language.
+SAMPLE_PER_LANG, SAMPLE_ALL, MAX_LANGS, CENTROIDS = 400, 4000, 1000, 4
+#: Hashes are compared as numbers below this.
+RANGE = 1 << 40
 #: A text is rejected under this share of the low quantile of training cosines at its length.
 MARGIN, LOW = 0.5, 0.05
 #: Classes of length: the logarithm to base 2 of the number of distinct trigrams, so that a repeated phrase counts as a
@@ -121,14 +127,14 @@ def floors(cos: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, train: Column | None = None, sample: int = SAMPLE_PER_LANG) -> Model:
-    """Fits on at most ``sample`` texts of each language: those first by a hash of their id."""
+    """Fits on about ``sample`` texts of each language."""
     rows = docs if train is None else docs.where(train)
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= sample).select("doc_id", "lang").distinct()
+    counts = rows.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    each = min(sample, SAMPLE_ALL // max(len(counts), 1))
     spark = docs.sparkSession
-    picked = spark.createDataFrame(ids.collect(), ids.schema)  # bounded: sample rows of each language
-    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
+    cuts = F.broadcast(spark.createDataFrame([(r.lang, min(RANGE, -(-RANGE * each // r.n))) for r in counts], "cut_lang string, cut_ long"))  # MAX_LANGS rows at most
+    some = rows.where(F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h_")).join(cuts, F.col("lang") == F.col("cut_lang"))
+    texts = some.where(F.pmod("h_", F.lit(RANGE)) < F.col("cut_")).groupBy("lang", "h_").agg(F.first("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,6 +143,7 @@ def fit(docs: DataFrame, train: Column | None = None, sample: int = SAMPLE_PER_L
                 heads = [data[x : min(y, x + CUTS[-1] + 1)].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in m], pa.binary()), pa.array(heads, pa.binary())], ["lang", "v", "head"])
 
+    # bounded: about SAMPLE_ALL rows of some kilobytes
     got = texts.select("lang", "text").mapInArrow(vectors, "lang string, v binary, head binary").orderBy("lang", "v", "head").collect()
     langs = sorted({r.lang for r in got})
     m = np.array([np.frombuffer(r.v, np.uint16) for r in got], np.float32).reshape(-1, DIMS)
