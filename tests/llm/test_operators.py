@@ -244,7 +244,7 @@ def test_lm_score_base_columns(spark, docs, texts):
 
 def test_network_is_a_distribution_and_carries_state():
     rng = np.random.default_rng(1)
-    net = lm_score.new_network(np.array([9, 7, 5, 3, 1] * 20), 50, 30)
+    net = lm_score.new_network(np.array([9, 7, 5, 3, 1] * 20), 50)
     net.wc[:] = rng.normal(0, 0.3, net.wc.shape)
     net.ww[:] = rng.normal(0, 0.3, net.ww.shape)
     v = lm_score.SPECIAL + 100
@@ -265,10 +265,10 @@ def test_network_is_a_distribution_and_carries_state():
 
 def test_gradients_match_differences():
     rng = np.random.default_rng(4)
-    net = lm_score.new_network(np.array([5, 4, 3]), 4, 3, hidden=3)
+    net = lm_score.new_network(np.array([5, 4, 3]), 4, hidden=3)
     net = lm_score.Network(*(rng.normal(0, 0.4, p.shape) for p in net.params))
     net.bw[:, 3:] = -30
-    prev, target, h, fresh = rng.integers(0, 5, (4, 2)), rng.integers(0, 5, (4, 2)), rng.normal(0, 1, (2, 3)), rng.random((4, 2)) < 0.2
+    prev, target, h, fresh = rng.integers(0, 4, (4, 2)), rng.integers(0, 4, (4, 2)), rng.normal(0, 1, (2, 3)), rng.random((4, 2)) < 0.2
     grads = lm_score.gradients(net, prev, target, h, fresh)[0]
     for p, g in zip(net.params, grads, strict=True):
         for _ in range(6):
@@ -284,43 +284,88 @@ def test_gradients_match_differences():
 
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(6)
-    docs = [np.tile([2, 3, 4, 5], 30 + int(rng.integers(0, 5))) for _ in range(70)]
-    net = lm_score.new_network(np.array([30, 30, 30, 30]), 1, 1)
+    docs = [np.append(np.tile([1, 2, 3, 4], 30 + int(rng.integers(0, 5))), lm_score.END) for _ in range(70)]
+    net = lm_score.new_network(np.array([30, 30, 30, 30]), 1)
     losses = lm_score.train_network(net, docs, epochs=12, rate=0.02)
     assert losses[-1] < 0.6 * losses[0]
 
 
-def test_every_task_trains_and_the_average_is_the_same_again(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "FAN", 3)  # so that eight tasks' networks are averaged in two levels
+def some_words(spark):
+    """A vocabulary of four words, and rows of texts that repeat them."""
+    words = ["alpha", "beta", "gamma", "delta"]
+    col = pa.array(words)
+    data, off = tb.arrow_bytes(col)
+    keys = lm_score.word_keys(data, off)[0]
+    order = np.argsort(keys)
+    vocabulary = lm_score.Vocabulary(keys[order], np.full(4, 30), (lm_score.SPECIAL + lm_score.BUCKETS + order).astype(np.int64))
+    rows = [(k, " ".join(words * (20 + k % 5))) for k in range(300)] + [(None, None), (7, ""), (8, "zzz"), (9, "alpha " * 40000)]
+    return vocabulary, spark.createDataFrame(rows + [(5, "alpha beta")] * 50, "doc_id long, text string")
+
+
+def test_pieces_hold_every_token_and_do_not_depend_on_files(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PIECE", 1000)
+    vocabulary, rows = some_words(spark)
+    a, b = (lm_score.pieces(rows.repartition(n), vocabulary, 5).toPandas() for n in (1, 4))
+    assert a.n.sum() == b.n.sum() == sum(len((t or "").split()) + 1 for _, t in rows.collect()) and a.n.max() == 1000
+    assert [np.frombuffer(w, "<u2").tolist() for w in a.w[a.n == 2]].count([lm_score.SPECIAL + lm_score.BUCKETS, lm_score.SPECIAL + lm_score.BUCKETS + 1]) == 0
+    alone = lambda x: sorted(zip(x.trainer, x["round"], x.h, x.w, strict=True))
+    # rows that agree in id and words are dealt apart, which one task counts; all others are the same pieces
+    assert [r for r in alone(a) if len(r[3]) != 6] == [r for r in alone(b) if len(r[3]) != 6]
+    assert a.trainer[a.n == 3].nunique() == 5
+    zzz = [w for w, n in zip(a.w, a.n, strict=True) if n == 2]
+    assert len(zzz) == 1 and lm_score.SPECIAL <= np.frombuffer(zzz[0], "<u2")[0] < lm_score.SPECIAL + lm_score.BUCKETS
+
+
+def test_trainers_average_and_the_result_is_the_same_again(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FAN", 3)  # so that eight trainers' networks are averaged in two levels
     monkeypatch.setattr(lm_score, "TASK_LANES", 4)  # so that a small table makes many steps
-    words = ["a", "b", "c", "d"]
-    hashes = np.array([tb.hash_of(w) for w in words], np.uint64)
-    rows = spark.createDataFrame([(" ".join(words * (20 + k % 5)),) for k in range(400)] + [(None,), ("",), ("zzz",)], "text string").repartition(8).select("text", F.lit(1).alias("w"))
-    rows = lm_score.written(rows, "rows")
-    net = lm_score.new_network(np.array([30, 30, 30, 30]), 1, 1)
+    monkeypatch.setattr(lm_score, "TRAINER", 9000)
+    vocabulary, rows = some_words(spark)
+    rows = rows.limit(300)
+    net = lm_score.new_network(np.concatenate([np.zeros(lm_score.BUCKETS), [30, 30, 30, 30]]), 1)
     before = [p.copy() for p in net.params]
-    got, again = (lm_score.train_everywhere(rows, net, hashes) for _ in range(2))
+    got, again = (lm_score.trained(rows.repartition(n), net, vocabulary, 27000) for n in (1, 5))
     assert all((a == b).all() for a, b in zip(net.params, before, strict=True))  # the start is left as it was
-    assert all((a == b).all() for a, b in zip(got.params, again.params, strict=True))
-    doc = np.append(np.tile([2, 3, 4, 5], 20), lm_score.END)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(got.params, again.params, strict=True))
+    doc = np.append(np.tile(lm_score.SPECIAL + lm_score.BUCKETS + np.arange(4), 20), lm_score.END)
     score = lambda n: float(lm_score.score_documents(n, doc, np.array([0, len(doc)]))[0])
     assert score(got) > 0.9 * score(net)
     assert lm_score.unpacked_network(lm_score.packed_network(got), net).x.shape == got.x.shape
-    assert lm_score.train_everywhere(rows.limit(0), net, hashes) is net
+    assert lm_score.trained(rows.limit(0), net, vocabulary, 0) is net
 
 
 def test_training_uses_every_token():
-    net = lm_score.new_network(np.array([30, 30]), 1, 1)
+    net = lm_score.new_network(np.array([30, 30]), 1)
     seen = []
     net_grads = lm_score.gradients
-    docs = [np.array([2] * 1000), np.array([3] * 7), np.zeros(0, np.int64)]
+    docs = [np.array([1] * 1000 + [0]), np.array([2] * 7 + [0]), np.array([0])]
     try:
         lm_score.gradients = lambda n, prev, target, h, fresh: (seen.append(target.ravel()), net_grads(n, prev, target, h, fresh))[1]
         lm_score.train_network(net, docs, epochs=1, lanes=8)
     finally:
         lm_score.gradients = net_grads
     c = np.bincount(np.concatenate(seen))
-    assert c[2] >= 1000 and c[3] == 7 and c[lm_score.END] == 3 and c.sum() < 1010 + 8
+    assert c[1] >= 1000 and c[2] == 7 and c[lm_score.END] == 3 and c.sum() < 1010 + 8
+
+
+def test_lm_score_beats_unigrams_and_does_not_depend_on_files(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    got = []
+    for n in (1, 5):
+        d = lm_score.written(docs.repartition(n), "docs")
+        model, counts = lm_score.fit(d, queries.remainder(7) != 2)
+        got.append(lm_score.lm_score(d, queries.remainder(7) == 2, model, counts).toPandas().sort_values("doc_id"))
+    a, b = got
+    assert np.allclose(a.score, b.score, rtol=1e-4) and np.allclose(a.base_score, b.base_score)
+    held = a[a.held_out]
+    assert held.score.sum() / held.n_tokens.sum() > held.base_score.sum() / held.n_tokens.sum() + 0.3
+    assert (held.score > held.base_score).mean() > 0.95
+    # more than the start, which is the network's unigram model of words and endings
+    start = lm_score.new_network(np.exp(model.net.bw.ravel()), 1)
+    start.bc[:] = lm_score.new_network(np.exp(model.net.bw.ravel()), int(model.ends)).bc
+    plain = lm_score.lm_score(docs, queries.remainder(7) == 2, lm_score.Model(start, model.vocabulary, model.n, model.v, model.ends, model.rest), counts).toPandas().sort_values("doc_id")
+    plain = plain[plain.held_out]
+    assert held.score.sum() / held.n_tokens.sum() > plain.score.sum() / plain.n_tokens.sum() + 0.05
 
 
 def test_packing(spark, docs, texts):

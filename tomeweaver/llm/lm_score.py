@@ -2,14 +2,18 @@
 
 Tokens are lower-cased words and one end for each document.  Word counts cover
 all training documents: tasks count by 64-bit word hash, and packed partial
-counts are dealt by hash and summed.  The most frequent words are the model's
-vocabulary; every other word is the token "unknown", and its own share among
-the unknown comes from its count (add one), so the model is a distribution over
-all words.  The network is a GRU whose output softmax is factored into classes
-of words of like frequency, trained in numpy by truncated backpropagation.  A
-bounded sample gives all tasks the same start; from there every task trains on
-all of its own training documents, and the tasks' parameters are averaged by
-tokens, in a tree of ``FAN`` a group, so that no task holds more than so many.
+counts are dealt by hash and summed.  The network's tokens are the end, the most
+frequent words, and ``BUCKETS`` endings: every other word is the token of its last
+two bytes, so that the network predicts which kind of rare word comes, and sees
+which one came; its own share within that kind comes from its count (add one), so
+the model is a distribution over all words.  The network is a GRU whose output softmax is factored into classes
+of words of like frequency, trained in numpy by truncated backpropagation.
+
+Training documents are cut into pieces of at most ``PIECE`` tokens, and the pieces dealt by a hash of id and words to
+trainers, about ``TRAINER`` tokens each, and to ``ROUNDS`` rounds.  A bounded sample of pieces gives all trainers the same
+start.  In each round every trainer goes on from the same network over its pieces of that round, and the
+networks are averaged by tokens, in a tree of ``FAN`` a group.  So what is learned depends on the documents and not on
+how files hold them, but for rounding.
 When scoring, the state is carried from window to window to a document's end,
 so a score is the whole document's.
 
@@ -19,7 +23,7 @@ counts are, and come back as sums for each document.
 
 Nulls: null text is empty (only its end), null doc_id stays null and its row
 counts as the caller's conditions say (null is false).  Without training documents all counts are 0 and the
-network is untrained.  Repeated rows each get a row; other columns are not read.
+network is untrained.  Repeated rows each get a row and are trained on each time; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,17 +41,33 @@ from . import textbatch as tb
 from .store import shuffle_partitions, written
 
 U = np.uint64
-#: Words whose counts every task holds; words of the network; words of a class; hidden units.
-FREQUENT, VOCABULARY, CLASS, HIDDEN = 65536, 992, 32, 16
-#: Bound on the sample of training documents that the network starts from; passes over it; lanes and steps of a window.
-SAMPLE, EPOCHS, LANES, WINDOW = 800, 2, 64, 32
-#: Of a task's pass over all its training documents: lanes, first rate, tokens trained on at a time; networks averaged at a time.
-TASK_LANES, TASK_RATE, TASK_TOKENS, FAN = 256, 0.005, 1 << 17, 32
-END, UNKNOWN, SPECIAL = 0, 1, 2
+#: Words whose counts every task holds; endings of other words; words of the network; words of a class; hidden units.
+FREQUENT, BUCKETS, VOCABULARY, CLASS, HIDDEN = 65536, 64, 4032, 64, 24
+#: Tokens (about) that the network starts from; passes over them; lanes and steps of a window.
+SAMPLE, EPOCHS, LANES, WINDOW = 300_000, 2, 64, 32
+#: Tokens of a piece, of a trainer (about); rounds of training and averaging; networks averaged at a time.
+PIECE, TRAINER, ROUNDS, FAN = 16384, 3_000_000, 2, 16
+#: Of a trainer: lanes, first rate, tokens trained on at a time.
+TASK_LANES, TASK_RATE, TASK_TOKENS = 256, 0.005, 1 << 18
+END, SPECIAL = 0, 1
 SLICE = 4 << 20
 FLUSH = 3_000_000
 
 
+def word_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every lower-cased word (its hash, the lowest bits replaced by its ending's number), and the index of each document's first word (n + 1)."""
+    low = tb.LOWER[data]
+    s, e, first = tb.spans(low, off, tb.WORD)
+    if not len(s):
+        return np.zeros(0, U), first
+    ending = low[e - 1].astype(U) * U(251) + np.where(e - s > 1, low[np.maximum(e - 2, 0)], 0).astype(U)
+    return (tb.hashes(low, s, e) & ~U(BUCKETS - 1)) | (tb.mix(ending) & U(BUCKETS - 1)), first
+
+
+def bucket_of(keys: np.ndarray) -> np.ndarray:
+    return (keys & U(BUCKETS - 1)).astype(np.int64)
+
+
 def dealt(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U(32)) % U(parts)).astype(np.int64)
 
@@ -69,8 +89,14 @@ def _summed(hs: list[np.ndarray], cs: list[np.ndarray]) -> tuple[np.ndarray, np.
     return u, np.bincount(inverse, weights=c, minlength=len(u)).astype(np.int64)
 
 
+def kinds_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Tokens and words of each ending (2 x BUCKETS)."""
+    b = bucket_of(keys)
+    return np.stack([np.bincount(b, weights=counts, minlength=BUCKETS), np.bincount(b, minlength=BUCKETS)]).astype(np.int64)
+
+
 def word_counts(train: DataFrame, parts: int) -> DataFrame:
-    """(p, h, c, words, tokens, docs): packed sorted hashes and counts of part p; documents on one row of each task."""
+    """(p, h, c, words, tokens, docs, kinds): packed sorted keys and counts of part p; documents on one row of each task; kinds: of each ending the tokens and words, packed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["p", "h", "c", "docs"]
@@ -84,7 +110,7 @@ def word_counts(train: DataFrame, parts: int) -> DataFrame:
         hs, cs, docs, held = [], [], 0, 0
         for b in batches:
             for i, j, data, off in tb.slices(b.column(0)):
-                u, c = np.unique(tb.words(data, off)[0], return_counts=True)
+                u, c = np.unique(word_keys(data, off)[0], return_counts=True)
                 hs.append(u)
                 cs.append(c)
                 docs += j - i
@@ -97,9 +123,9 @@ def word_counts(train: DataFrame, parts: int) -> DataFrame:
 
     def add(t: pa.Table) -> pa.Table:
         h, c = _summed([np.frombuffer(x.as_py(), U) for x in t.column("h")], [np.frombuffer(x.as_py(), np.int64) for x in t.column("c")])
-        return pa.table({"p": pa.array([t.column("p")[0].as_py()], pa.int32()), "h": pa.array([h.tobytes()], pa.binary()), "c": pa.array([c.tobytes()], pa.binary()), "words": pa.array([len(h)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64()), "docs": pa.array([sum(t.column("docs").to_pylist())], pa.int64())})
+        return pa.table({"p": pa.array([t.column("p")[0].as_py()], pa.int32()), "h": pa.array([h.tobytes()], pa.binary()), "c": pa.array([c.tobytes()], pa.binary()), "words": pa.array([len(h)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64()), "docs": pa.array([sum(t.column("docs").to_pylist())], pa.int64()), "kinds": pa.array([kinds_of(h, c).tobytes()], pa.binary())})
 
-    return train.select("text").mapInArrow(count, "p int, h binary, c binary, docs long").groupBy("p").applyInArrow(add, "p int, h binary, c binary, words long, tokens long, docs long")
+    return train.select("text").mapInArrow(count, "p int, h binary, c binary, docs long").groupBy("p").applyInArrow(add, "p int, h binary, c binary, words long, tokens long, docs long, kinds binary")
 
 
 def most_frequent(counts: DataFrame, parts: int, n: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -154,14 +180,15 @@ class Network:
         logits = h @ self.wc + self.bc
         top = logits.max(1)
         out = logits[np.arange(len(cls)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(SPECIAL, len(self.bc) + 1))
+        order, cut = by_class(cls, len(self.bc))
+        hs, ws, inner = h[order], ((tokens - SPECIAL) % CLASS)[order], np.zeros(len(order), h.dtype)
         for k in range(len(self.bc) - SPECIAL):
-            own = order[cut[k] : cut[k + 1]]
-            if len(own):
-                lg = h[own] @ self.ww[k] + self.bw[k]
-                t = lg.max(1)
-                out[own] += lg[np.arange(len(own)), (tokens[own] - SPECIAL) % CLASS] - t - np.log(np.exp(lg - t[:, None]).sum(1))
+            a, b = cut[k], cut[k + 1]
+            if a < b:
+                lg = hs[a:b] @ self.ww[k] + self.bw[k]
+                lg -= lg.max(1, keepdims=True)
+                inner[a:b] = lg[np.arange(b - a), ws[a:b]] - np.log(np.exp(lg).sum(1))
+        out[order] += inner
         return out
 
 
@@ -169,15 +196,21 @@ def class_of(tokens: np.ndarray) -> np.ndarray:
     return np.where(tokens < SPECIAL, tokens, (tokens - SPECIAL) // CLASS + SPECIAL)
 
 
-def new_network(counts: np.ndarray, ends: int, unknown: int, hidden: int = HIDDEN) -> Network:
-    """Starts as the unigram model of these counts; a class's missing words get no probability."""
+def by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[int]]:
+    """Order of tokens by class, and where the first token of each class of words stands in it."""
+    order = np.argsort(cls, kind="stable")
+    return order, np.searchsorted(cls[order], np.arange(SPECIAL, classes + 1)).tolist()
+
+
+def new_network(counts: np.ndarray, ends: int, hidden: int = HIDDEN) -> Network:
+    """Starts as the unigram model of these counts (of endings, then words); a class's missing words get no probability."""
     rng = np.random.default_rng(11)
     classes = -(-len(counts) // CLASS)
     words = np.zeros(classes * CLASS)
     words[: len(counts)] = counts
     per = words.reshape(classes, CLASS) if classes else np.zeros((0, CLASS))
-    bc = np.log(np.concatenate([[ends, unknown], per.sum(1)]) + 0.5)
-    bw = np.where(per > 0, np.log(np.maximum(per, 1)), -30.0)
+    bc = np.log(np.concatenate([[ends], per.sum(1)]) + 0.5)
+    bw = np.where(np.arange(classes * CLASS).reshape(per.shape) < len(counts), np.log(np.maximum(per, 0.5)), -30.0)
     f = np.float32
     return Network((rng.normal(0, 0.1, (SPECIAL + len(words), 3 * hidden))).astype(f), (rng.normal(0, hidden**-0.5, (hidden, 3 * hidden))).astype(f), np.zeros((hidden, len(bc)), f), bc.astype(f), np.zeros((classes, hidden, CLASS), f), bw.astype(f))
 
@@ -202,18 +235,22 @@ def gradients(net: Network, prev: np.ndarray, target: np.ndarray, h: np.ndarray,
     p /= m
     dwc, dbc, dflat = flat.T @ p, p.sum(0), p @ net.wc.T
     dww, dbw = np.zeros_like(net.ww), np.zeros_like(net.bw)
-    for k in np.unique(cls[cls >= SPECIAL]).tolist():
-        own = np.flatnonzero(cls == k)
-        k -= SPECIAL
-        lg = flat[own] @ net.ww[k] + net.bw[k]
-        q = np.exp(lg - lg.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        w = (tok[own] - SPECIAL) % CLASS
-        loss -= np.log(q[np.arange(len(own)), w] + 1e-30).sum()
-        q[np.arange(len(own)), w] -= 1
-        q /= m
-        dww[k], dbw[k] = flat[own].T @ q, q.sum(0)
-        dflat[own] += q @ net.ww[k].T
+    order, cut = by_class(cls, len(net.bc))
+    fs, ws, ds = flat[order], ((tok - SPECIAL) % CLASS)[order], dflat[order]
+    for k in range(len(net.bc) - SPECIAL):
+        a, b = cut[k], cut[k + 1]
+        if a < b:
+            q = fs[a:b] @ net.ww[k] + net.bw[k]
+            q -= q.max(1, keepdims=True)
+            np.exp(q, out=q)
+            q /= q.sum(1, keepdims=True)
+            own = np.arange(b - a)
+            loss -= np.log(q[own, ws[a:b]] + 1e-30).sum()
+            q[own, ws[a:b]] -= 1
+            q /= m
+            dww[k], dbw[k] = fs[a:b].T @ q, q.sum(0)
+            ds[a:b] += q @ net.ww[k].T
+    dflat[order] = ds
     dhs = dflat.reshape(steps, -1, n)
     dh = np.zeros_like(h)
     dgates, das = [None] * steps, [None] * steps
@@ -252,10 +289,10 @@ class Adam:
 
 
 def train_network(net: Network, docs: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.01, lanes: int = LANES, adam: Adam | None = None) -> list[float]:
-    """Windows of lanes: the documents stand one behind the other in a stream that lanes share evenly; a state is carried from window to window and each document begins with a fresh one."""
+    """Windows of lanes: the pieces stand one behind the other in a stream that lanes share evenly; a state is carried from window to window, and what follows an END begins with a fresh one."""
     if not docs:
         return []
-    stream = np.concatenate([x for d in docs for x in (d, [END])]).astype(np.int64)
+    stream = np.concatenate(docs).astype(np.int64)
     lanes = min(lanes, max(1, len(stream) // WINDOW))
     steps = -(-len(stream) // lanes)
     # the last lane is filled from the stream's start
@@ -284,46 +321,119 @@ def unpacked_network(raw: bytes, like: Network) -> Network:
     return Network(*out)
 
 
-def train_everywhere(rows: DataFrame, net: Network, hashes: np.ndarray) -> Network:
-    """From ``net``, trained by every task on all its rows(text) and averaged by tokens; hashes: of the network's words, by falling count."""
-    order = np.argsort(hashes)
-    shared = rows.sparkSession.sparkContext.broadcast((net, hashes[order], order + SPECIAL))  # bounded by VOCABULARY
-    schema, names = "p long, n long, w binary", ["p", "n", "w"]
+@dataclass
+class Vocabulary:
+    """Sorted keys of the frequent words, their counts, and the network's token of each (its ending's for most)."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    tokens: np.ndarray
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each key (-1: not frequent) and its token."""
+        at = tb.lookup(self.keys, keys)
+        ending = SPECIAL + bucket_of(keys)
+        return at, np.where(at < 0, ending, self.tokens[at]) if len(self.keys) else ending
+
+
+#: Hashes that pick a sample are compared as numbers below this.
+RANGE = 1 << 40
+
+
+def pieces(rows: DataFrame, vocabulary: Vocabulary, trainers: int) -> DataFrame:
+    """rows(doc_id, text) as pieces: trainer, round, h (a hash of id, words and place), n, w (tokens, packed; a document's last piece ends in END)."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by FREQUENT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: Vocabulary = shared.value
+        times: dict[int, int] = {}  # rows that repeat id and words go to different trainers
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            for i, _, data, off in tb.slices(b.column(1)):
+                keys, first = word_keys(data, off)
+                token = v.look(keys)[1].astype("<u2")
+                out = []
+                for k, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    name = ((ids[i + k] or 0) * 0x9E3779B97F4A7C15 + y - x + int(tb.mix(keys[x:y] + np.arange(y - x, dtype=U)).sum())) & (2**64 - 1)
+                    if len(times) > 100_000:
+                        times.clear()
+                    times[name] = t = times.get(name, -1) + 1
+                    whole = np.append(token[x:y], np.uint16(END))
+                    for n, a in enumerate(range(0, len(whole), PIECE)):
+                        h = int(tb.mix(np.array([(name + n * 0x165667B19E3779F9 + t * 0xC2B2AE3D27D4EB4F) & (2**64 - 1)], U))[0])
+                        part = whole[a : a + PIECE]
+                        out.append(((h >> 8) % trainers, h % ROUNDS, h >> 1, len(part), part.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["trainer", "round", "h", "n", "w"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "trainer int, round int, h long, n long, w binary")
+
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, table, token = shared.value
-        own = Network(*(p.copy() for p in start.params))
+def _tokens(t: pa.Table) -> list[np.ndarray]:
+    """Tokens of the pieces of a group, in the order of their hashes."""
+    t = t.sort_by([("h", "ascending"), ("w", "ascending")])
+    return [np.frombuffer(w.as_buffer(), "<u2").astype(np.int64) for c in t.column("w").chunks for w in c]
+
+
+NETS, NET_NAMES = "p long, n long, w binary", ["p", "n", "w"]
+
+
+def _net_row(p: int, n: int, net: Network) -> pa.Table:
+    return pa.table({"p": pa.array([p], pa.int64()), "n": pa.array([n], pa.int64()), "w": pa.array([packed_network(net)], pa.binary())})
+
+
+def started(table: DataFrame, net: Network, tokens: int, sample: int = SAMPLE) -> Network:
+    """``net`` trained on the pieces of lowest hash, about ``sample`` of all ``tokens``, in one task."""
+    shared = table.sparkSession.sparkContext.broadcast(net)
+    some = table.where(F.pmod(F.xxhash64("h"), F.lit(RANGE)) < min(RANGE, RANGE * sample // max(tokens, 1)))
+
+    def train(t: pa.Table) -> pa.Table:
+        own = Network(*(p.copy() for p in shared.value.params))
+        train_network(own, _tokens(t))
+        return _net_row(0, t.num_rows, own)
+
+    got = some.groupBy(F.lit(1).alias("one")).applyInArrow(train, NETS).collect()  # one network
+    return unpacked_network(got[0].w, net) if got else net
+
+
+def train_round(table: DataFrame, net: Network) -> Network:
+    """``net`` trained on by each trainer over its pieces in ``table``, and averaged by tokens."""
+    shared = table.sparkSession.sparkContext.broadcast(net)  # bounded by VOCABULARY
+
+    def train(t: pa.Table) -> pa.Table:
+        own = Network(*(p.copy() for p in shared.value.params))
         adam = Adam(own, TASK_RATE, 64)
         docs, held, n = [], 0, 0
-        for b in batches:
-            for _, _, data, off in tb.slices(b.column(0)):
-                x, first = tb.words(data, off)
-                at = tb.lookup(table, x)
-                x = np.where(at < 0, UNKNOWN, token[at] if len(token) else UNKNOWN)
-                docs += np.split(x, first[1:-1])
-                held += len(x) + len(off) - 1
-                if held >= TASK_TOKENS:
-                    train_network(own, docs, 1, lanes=TASK_LANES, adam=adam)
-                    docs, held, n = [], 0, n + held
+        for x in _tokens(t):
+            docs.append(x)
+            held += len(x)
+            if held >= TASK_TOKENS:
+                train_network(own, docs, 1, lanes=TASK_LANES, adam=adam)
+                docs, held, n = [], 0, n + held
         if docs:
             train_network(own, docs, 1, lanes=TASK_LANES, adam=adam)
-            n += held
-        if n:
-            context = TaskContext.get()
-            yield pa.RecordBatch.from_arrays([pa.array([context.partitionId() if context else 0], pa.int64()), pa.array([n], pa.int64()), pa.array([packed_network(own)], pa.binary())], names)
+        return _net_row(t.column("trainer")[0].as_py(), n + held, own)
 
     def average(t: pa.Table) -> pa.Table:
         t = t.sort_by("p")
         n = np.array(t.column("n").to_pylist(), np.int64)
         total = sum(k * np.frombuffer(w.as_py(), np.float32).astype(np.float64) for k, w in zip(n.tolist(), t.column("w"), strict=True))
-        return pa.table({"p": pa.array([t.column("p")[0].as_py() // FAN], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+        return _net_row(t.column("p")[0].as_py() // FAN, int(n.sum()), unpacked_network((total / n.sum()).astype(np.float32).tobytes(), shared.value))
 
-    nets = written(rows.select("text").mapInArrow(train, schema), "networks")
+    nets = written(table.groupBy("trainer").applyInArrow(train, NETS), "networks")
     while len(got := nets.limit(2).collect()) > 1:
-        nets = written(nets.groupBy(F.floor(F.col("p") / FAN)).applyInArrow(average, schema), "networks")
+        nets = written(nets.groupBy(F.floor(F.col("p") / FAN)).applyInArrow(average, NETS), "networks")
     return unpacked_network(got[0].w, net) if got else net
 
 
+def trained(rows: DataFrame, net: Network, vocabulary: Vocabulary, tokens: int) -> Network:
+    """``net`` trained on all rows(doc_id, text), which hold so many ``tokens``."""
+    table = written(pieces(rows, vocabulary, max(1, -(-tokens // TRAINER))), "lm-pieces")
+    net = started(table, net, tokens)
+    for r in range(ROUNDS):
+        net = train_round(table.where(F.col("round") == r), net)
+    return net
+
+
 def score_documents(net: Network, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log-likelihood of each document: tokens first[i] to first[i + 1], the last of them END."""
     length = np.diff(first)
@@ -356,47 +466,29 @@ def score_documents(net: Network, tokens: np.ndarray, first: np.ndarray) -> np.n
 @dataclass
 class Model:
     net: Network
-    hashes: np.ndarray  # sorted, of the frequent words
-    counts: np.ndarray
-    tokens: np.ndarray  # of the network, UNKNOWN for most
+    vocabulary: Vocabulary
     n: int
     v: int
     ends: int
-    unknown_n: int
-    unknown_v: int
+    rest: np.ndarray  # of each ending, log10 of what the counts (plus one) of its words outside the network, and of one new word, sum up to
 
 
-def fit(docs: DataFrame, train: Column, parts: int | None = None, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, train: Column, parts: int | None = None) -> tuple[Model, DataFrame]:
     """The model, and the table of all counts in the shared folder."""
     parts = parts or shuffle_partitions(docs.sparkSession)
     rows = docs.where(train)
     counts = written(word_counts(rows, parts), "word-counts")
     total = counts.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n"), F.sum("docs").alias("d")).first()
     v, n, ends = total.v or 0, total.n or 0, total.d or 0
+    kinds = sum((np.frombuffer(r.kinds, np.int64).reshape(2, BUCKETS) for r in counts.select("kinds").collect()), np.zeros((2, BUCKETS), np.int64))  # a kilobyte a part
     h, c = most_frequent(counts, parts)
-    in_net, top = c[:VOCABULARY], h[:VOCABULARY]
-    net = new_network(in_net, ends, n - int(in_net.sum()))
+    kinds = kinds - kinds_of(h[:VOCABULARY], c[:VOCABULARY])
+    net = new_network(np.concatenate([kinds[0], c[:VOCABULARY]]), ends)
     order = np.argsort(h)
-    tokens = np.where(order < VOCABULARY, order + SPECIAL, UNKNOWN)
-    h, c = h[order], c[order]
-    m = Model(net, h, c, tokens, n + ends, v + (ends > 0), ends, n - int(in_net.sum()), v - len(in_net))
-    key = F.xxhash64("doc_id", F.lit(4))
-    picked = [r.doc_id for r in rows.where(F.col("doc_id").isNotNull()).select("doc_id", key.alias("k")).orderBy("k", "doc_id").limit(sample).collect()]
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, data, off in tb.slices(b.column(1)):
-                x, first = tb.words(data, off)
-                at = tb.lookup(h, x)
-                x = np.where(at < 0, UNKNOWN, tokens[at] if len(tokens) else UNKNOWN).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x[p:q].tobytes() for p, q in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "w"])
-
-    if picked:
-        some = docs.sparkSession.createDataFrame([(x,) for x in sorted(set(picked))], "doc_id long")
-        got = rows.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi").mapInArrow(ids, "doc_id long, w binary").orderBy("doc_id", "w").collect()
-        train_network(net, [np.frombuffer(r.w, np.int32).astype(np.int64) for r in got])
-    m.net = train_everywhere(rows, net, np.array(top, U))
-    return m, counts
+    tokens = np.where(order < VOCABULARY, SPECIAL + BUCKETS + order, SPECIAL + bucket_of(h[order]))
+    words = Vocabulary(h[order], c[order], tokens)
+    net = trained(rows, net, words, n + ends)
+    return Model(net, words, n + ends, v + (ends > 0), ends, np.log10(kinds.sum(0) + 1.0)), counts
 
 
 #: A document's sums: as an array of records, packed into one binary value for each block of documents.
@@ -411,7 +503,7 @@ def lm_score(docs: DataFrame, held_out: Column, model: Model, counts: DataFrame,
     shared = spark.sparkContext.broadcast(model)  # bounded: FREQUENT counts and the network
     mid = "p int, block long, docs binary, h binary, d binary"
     names = ["p", "block", "docs", "h", "d"]
-    doc_type = np.dtype([("id", "<i8"), ("null", "?"), ("held", "?"), ("n", "<i8"), ("known", "<i8"), ("log", "<f8"), ("unknown", "<i8"), ("unknown_log", "<f8"), ("net", "<f8")])
+    doc_type = np.dtype([("id", "<i8"), ("null", "?"), ("held", "?"), ("n", "<i8"), ("known", "<i8"), ("log", "<f8"), ("outside_log", "<f8"), ("net", "<f8")])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -419,13 +511,12 @@ def lm_score(docs: DataFrame, held_out: Column, model: Model, counts: DataFrame,
         block = (context.partitionId() if context else 0) << 32
         for b in batches:
             for i, j, data, off in tb.slices(b.column(2), SLICE):
-                h, first = tb.words(data, off)
+                h, first = word_keys(data, off)
                 n = j - i
                 doc = np.repeat(np.arange(n), np.diff(first))
-                at = tb.lookup(m.hashes, h)
+                at, token = m.vocabulary.look(h)
                 seen = at >= 0
-                token = np.where(seen, m.tokens[at] if len(m.tokens) else UNKNOWN, UNKNOWN)
-                log = np.where(seen, np.log10((m.counts[at] if len(m.counts) else 0) + 1.0), 0.0)
+                log = np.where(seen, np.log10((m.vocabulary.counts[at] if len(m.vocabulary.counts) else 0) + 1.0), 0.0)
                 x = np.insert(token, first[1:], END)
                 bounds = first + np.arange(n + 1)
                 rec = np.zeros(n, doc_type)
@@ -435,9 +526,8 @@ def lm_score(docs: DataFrame, held_out: Column, model: Model, counts: DataFrame,
                 rec["n"] = np.diff(first) + 1
                 rec["known"] = np.bincount(doc, weights=seen, minlength=n) + (m.ends > 0)
                 rec["log"] = np.bincount(doc, weights=log, minlength=n) + np.log10(m.ends + 1.0)
-                unknown = token == UNKNOWN
-                rec["unknown"] = np.bincount(doc, weights=unknown, minlength=n)
-                rec["unknown_log"] = np.bincount(doc, weights=np.where(unknown, log, 0), minlength=n)
+                outside = token < SPECIAL + BUCKETS
+                rec["outside_log"] = np.bincount(doc, weights=np.where(outside, log - m.rest[bucket_of(h)], 0), minlength=n)
                 rec["net"] = score_documents(m.net, x, bounds) / np.log(10)
                 rare = np.flatnonzero(~seen)
                 rows = [(((block >> 32) * 31 + (block & 0xFFFFFFFF)) % parts, block, rec.tobytes(), b"", b""), *((p, block, b"", a, c) for p, a, c in _packed(h[rare], doc[rare].astype("<i4"), parts))]
@@ -474,9 +564,9 @@ def lm_score(docs: DataFrame, held_out: Column, model: Model, counts: DataFrame,
             r = np.frombuffer(x, RECORD)
             rec["known"][r["doc"]] += r["known"]
             rec["log"][r["doc"]] += r["log"]
-            rec["unknown_log"][r["doc"]] += r["log"]
+            rec["outside_log"][r["doc"]] += r["log"]
         base = rec["log"] - rec["n"] * np.log10(m.n + m.v + 1.0)
-        score = rec["net"] + rec["unknown_log"] - rec["unknown"] * np.log10(m.unknown_n + m.unknown_v + 1.0)
+        score = rec["net"] + rec["outside_log"]
         return pa.table({"doc_id": pa.array(rec["id"], pa.int64(), mask=rec["null"]), "held_out": pa.array(rec["held"]), "n_tokens": pa.array(rec["n"]), "n_known": pa.array(rec["known"]), "train_tokens": pa.array(np.full(len(rec), m.n, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     dealt_tokens = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_"), "text").mapInArrow(scan, mid)
