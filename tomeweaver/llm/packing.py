@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 SIZE, END_ID = 1024, 0
 #: In ids of padding that a cut is worth.
 SENTENCE_PENALTY, FORCED_PENALTY, WINDOW_COST = 4, 48, 2
-#: Sentence cuts stand at least SPACING ids after the cut before; forced ones FORCED ids apart.
+#: Sentence cuts stand in different stretches of SPACING ids, forced ones FORCED ids apart; less of both in windows of under 1024 ids.
 SPACING, FORCED = 24, 256
 STRETCH = 400_000
 _encoders: dict[str, "Encoder"] = {}
@@ -78,25 +78,26 @@ def encoder(json_path: str, ranks_path: str | None = None) -> Encoder:
     return _encoders[json_path]
 
 
-def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a window may end, ascending, and what each costs."""
+def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a window of ``size`` ids may end, ascending, and what each costs; none is further than ``size`` from the one before."""
+    spacing, forced = min(SPACING, max(size // 16, 1)), min(FORCED, max(size // 4, 1))
     is_doc = np.isin(sentence_ends, doc_ends, assume_unique=True)
     s = sentence_ends[~is_doc]
     keep = np.zeros(len(s), bool)
-    if len(s):  # the first sentence end of each stretch of SPACING ids, and none close to a document's end
-        cell = s // SPACING
+    if len(s):  # the first sentence end of each stretch of spacing ids, and none close to a document's end
+        cell = s // spacing
         keep[0] = True
         keep[1:] = cell[1:] != cell[:-1]
         nxt = doc_ends[np.minimum(np.searchsorted(doc_ends, s), len(doc_ends) - 1)]
-        keep &= nxt - s >= SPACING
+        keep &= nxt - s >= spacing
     at = np.concatenate([doc_ends, s[keep]])
     cost = np.concatenate([np.zeros(len(doc_ends), np.int64), np.full(int(keep.sum()), SENTENCE_PENALTY, np.int64)])
     order = np.argsort(at, kind="stable")
     at, cost = at[order], cost[order]
     gap = np.diff(at, prepend=0)
-    wide = np.flatnonzero(gap > FORCED)
+    wide = np.flatnonzero(gap > forced)
     if len(wide):
-        more = np.concatenate([np.arange(at[k] - gap[k] + FORCED, at[k], FORCED) for k in wide.tolist()])
+        more = np.concatenate([np.arange(at[k] - gap[k] + forced, at[k], forced) for k in wide.tolist()])
         at = np.concatenate([at, more])
         cost = np.concatenate([cost, np.full(len(more), FORCED_PENALTY, np.int64)])
         order = np.argsort(at, kind="stable")
@@ -160,7 +161,7 @@ class Packer:
         ids = np.concatenate([p[1] for p in self.parts])
         ends = np.cumsum([len(p[1]) for p in self.parts])
         sentence = np.flatnonzero(self.ends[ids]) + 1
-        cuts = best_cuts(*cut_places(ends, sentence), self.size)
+        cuts = best_cuts(*cut_places(ends, sentence, self.size), self.size)
         if not last:
             cuts = cuts[:-1]
         done = cuts[-1] if cuts else 0
