@@ -4,7 +4,7 @@ Every template (a base phrase or the opening of a licence notice) is a word
 sequence, and the index holds the postings of its words with their inverse
 document frequency over all scanned documents.  Of the documents that hold the
 rarest word of a template's key phrase, the rarest words that they share with the
-template are looked up; a posting at template position q met at document
+template are looked up, and the words of its key phrases; a posting at template position q met at document
 position p votes for the alignment p - q; alignments on which enough postings
 agree are kept if the template's mandatory key phrases stand there.  Base
 phrases are their own key phrase, so their places are exact.
@@ -100,7 +100,7 @@ def build_index(df: dict[int, int], n: int) -> list[dict]:
         rare = sorted(set(ws), key=lambda w: (-idf(w), w))
         key = min(keys[0], key=lambda w: (-idf(w), w))
         postings = [(at[w], q, rare.index(w)) for q, w in enumerate(ws) if not exact or w == key]
-        out.append({"label": label, "words": [at[w] for w in ws], "keys": [[at[w] for w in k] for k in keys], "key": at[key], "exact": exact, "postings": postings, "votes": 1 if exact else AGREE, "idf": [idf(w) for w in ws]})
+        out.append({"label": label, "words": [at[w] for w in ws], "keys": [[at[w] for w in k] for k in keys], "key": at[key], "key_ranks": sorted({rare.index(w) for k in keys for w in k if w in rare}), "exact": exact, "postings": postings, "votes": 1 if exact else AGREE, "idf": [idf(w) for w in ws]})
     return out
 
 
@@ -135,11 +135,11 @@ def scan_slice(data: np.ndarray, off: np.ndarray, index: list[dict], table: np.n
             at.append(p[own] - q)
             rank.append(np.full(int(own.sum()), r))
         doc, at, rank = np.concatenate(doc), np.concatenate(at), np.concatenate(rank)
-        if not t["exact"]:  # of each document, its rarest words only
+        if not t["exact"]:  # of each document, its rarest words, and those of the key phrases wherever they stand
             some = np.unique(np.stack([doc, rank]), axis=1)
             nth = np.arange(some.shape[1]) - np.searchsorted(some[0], some[0])
             some = some[:, nth < ANCHORS]
-            use = np.isin(doc * len(VOCABULARY) + rank, some[0] * len(VOCABULARY) + some[1])
+            use = np.isin(doc * len(VOCABULARY) + rank, some[0] * len(VOCABULARY) + some[1]) | np.isin(rank, t["key_ranks"])
             doc, at = doc[use], at[use]
         pairs, counts = np.unique(np.stack([doc, at]), axis=1, return_counts=True)
         doc, at = pairs[:, counts >= t["votes"]]
