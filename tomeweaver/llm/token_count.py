@@ -37,8 +37,10 @@ class Counter:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i))]
-        probe = " a  b\n c\tÅＡ "
-        self.splits = not any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in pieces) and self.sp.normalize(probe) == (MARK + probe).replace(" ", MARK)
+        # a text is its own normal form but for spaces: every character (NUL and MARK, which go their own way, aside), spaces in a row and at the ends, and marks behind letters
+        probes = [" a  b\n c\tÅＡ ", "e\u0301 \u1100\u1161\u11a8 ﬁ", *("".join(map(chr, (*range(a, min(a + 4096, 0xD800)), *range(max(a, 0xE000), a + 4096)))).replace("\0", "").replace(MARK, "") for a in range(0, 0x20000, 4096))]
+        own = all(self.sp.normalize(x) == (MARK + x).replace(" ", MARK) for x in probes if x)
+        self.splits = own and not any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in pieces)
         self.line = self.count("\n\n") - self.count("\n") if self.splits else 0
         self.line_base = self.count("\n") if self.splits else 0
         one = []
