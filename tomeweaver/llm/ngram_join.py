@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .store import shuffle_partitions, written
+from .store import dropped, shuffle_partitions, written
 
 U = np.uint64
 WORDS = 5
@@ -46,6 +46,8 @@ WORDS = 5
 MULTIPLIERS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 RATIO, HOT, BLOCK, PIVOTS, FAN = 1.5, 4096, 2_000_000, 4, 32
 KEY_BYTES = 6
+#: Shingles (about) whose keys one task holds, with some 40 bytes for each key, and there is half a key for a shingle.
+PART = 3_000_000
 
 
 def needed(a, b):
@@ -221,7 +223,7 @@ def _met(docs: DataFrame, parts: int) -> DataFrame:
             low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
             sid = np.array(ids, np.int64)
             rows = []
-            for k in range(parts):
+            for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                 if cut[k] < cut[k + 1]:
                     own, counts = np.unique(at[cut[k] : cut[k + 1]], return_counts=True)
                     rows.append((k, sid[own].tobytes(), counts.astype("<u4").tobytes(), np.ascontiguousarray(low[cut[k] : cut[k + 1]]).tobytes()))
@@ -360,7 +362,8 @@ def connected(edges: DataFrame, label: str) -> DataFrame:
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         m = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(m, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).unionAll(m.select("a", F.col("m").alias("b")))
-        e = written(small.where("a <> b").distinct(), label)
+        last, e = e, written(small.where("a <> b").distinct(), label)
+        dropped(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -441,8 +444,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
 
 def _labelled(docs: DataFrame, parts: int | None = None, keyed: bool = False) -> DataFrame:
     """The rows of ``_ids`` without vec, with label: the component, null for an empty set."""
-    parts = parts or shuffle_partitions(docs.sparkSession)
     rows = written(_ids(docs, keyed), "ngram-ids")
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = parts or max(shuffle_partitions(docs.sparkSession), -(-total // PART))
     met = written(_met(docs, parts), "ngram-met")
     members = _unpacked(met)
     named = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("vec").alias("vec"))

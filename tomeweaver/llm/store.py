@@ -1,32 +1,12 @@
-"""Shared folders for intermediate tables."""
+"""Shared folders for intermediate tables, as the rest of the library has them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.store import dropped, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where the setting is absent."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tomeweaver-")
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir() or found
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["dropped", "shared_dir", "shuffle_partitions", "written"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
