@@ -76,9 +76,34 @@ def test_word_hashes_match_words(texts):
         assert h.tolist() == [tb.hash_of(x) for w in want for x in w]
 
 
+def test_hashes_of_long_texts_are_those_of_short_ones(monkeypatch):
+    rng = random.Random(3)
+    text = " ".join("x" * rng.choice([1, 3, 40, 700]) + str(k) for k in range(300))
+    data, off = tb.arrow_bytes(pa.array([text]))
+    s, e, _ = tb.spans(data, off, tb.WORD)
+    want = tb.hashes(data, s, e)
+    count = language_id.count_matrix(data, off)
+    monkeypatch.setattr(tb, "SLICE", 64)
+    assert (tb.hashes(data, s, e) == want).all() and (language_id.count_matrix(data, off) == count).all()
+
+
+def test_a_very_long_text(spark):
+    # 60 MB in one row: words, one long word, and no more memory than some copies of it
+    text = "all rights reserved " * 1_000_000 + "y" * 20_000_000 + " cc by " * 3_000_000
+    one = pa.array([text])
+    (i, j, data, off), = tb.slices(one)
+    h, first = tb.words(data, off, tb.ALNUM)
+    assert first.tolist() == [0, 9_000_001] and len(set(h.tolist())) == 6
+    del h
+    assert language_id.count_matrix(data, off).sum() > 50_000_000
+    (x,) = ngram_join.shingle_sets(data, off)
+    assert len(x) == 3 + 4 + 2 + 1 + 0
+
+
 def test_license_scan(spark, docs, texts):
     phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
-    more = [(90, "All rights reserved. Licensed under CC BY-NC 4.0. all rights RESERVED", "en", "a"), (91, "Permission is hereby granted, free of charge, to any person obtaining a copy", "en", "a"), (92, "granted free the charge permission", "en", "a")]
+    far = "obtaining " + "a b " * 50 + "associated " + "c d " * 50 + "documentation " + "e f " * 50 + "files " + "g h " * 50 + "permission is hereby granted free of charge to all"
+    more = [(93, far, "en", "a"), (90, "All rights reserved. Licensed under CC BY-NC 4.0. all rights RESERVED", "en", "a"), (91, "Permission is hereby granted, free of charge, to any person obtaining a copy", "en", "a"), (92, "granted free the charge permission", "en", "a")]
     got = by_id(license_scan.license_scan(docs.unionAll(frame(spark, more))).collect())
     for i, t, _, _ in texts + more:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
@@ -87,7 +112,7 @@ def test_license_scan(spark, docs, texts):
         want = (len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at})))
         assert want in [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got[i]]
         assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) for r in got[i])
-    assert got[90][0].labels == "cc-by,cc-by-nc-4.0,reserved" and got[91][0].labels == "mit" and got[92][0].labels == ""
+    assert got[90][0].labels == "cc-by,cc-by-nc-4.0,reserved" and got[91][0].labels == "mit" and got[92][0].labels == "" and got[93][0].labels == "mit"
 
 
 def shingles(t):
@@ -397,6 +422,16 @@ def test_packing(spark, docs, texts):
     assert max(seq.values()) <= 1024
 
 
+@pytest.mark.parametrize("size", [7, 128, 300, 2048])
+def test_packing_into_windows_of_other_sizes(spark, docs, texts, size):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = packing.pack(docs, path, public_tokenizers.path("byte_bpe_50k.tiktoken"), size).toPandas()
+    per = got.groupby("sequence_id").agg(n=("length", "sum"), last=("offset", "max"))
+    assert per.n.max() <= size and got.length.min() > 0
+    e = packing.encoder(path)
+    assert got.length.sum() == sum(len(e.ids(t or "")) + 1 for _, t, _, _ in texts)
+
+
 def test_cuts_are_optimal():
     rng = np.random.default_rng(7)
     for _ in range(60):

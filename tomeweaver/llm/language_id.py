@@ -55,6 +55,8 @@ def count_matrix(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = len(off) - 1
     if len(data) < 3:
         return np.zeros((n, DIMS), np.float32)
+    if n == 1 and len(data) > tb.SLICE + 2:  # a long text, by parts that share two bytes
+        return sum(count_matrix(data[a : a + tb.SLICE + 2], np.array([0, min(tb.SLICE + 2, len(data) - a)])) for a in range(0, len(data) - 2, tb.SLICE))
     b = LETTER[data].astype(np.uint32)
     code = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
     space = (b == 0x20).astype(np.uint8)

@@ -3,7 +3,8 @@
 Texts of a batch are handled as one byte buffer.  A word's 64-bit hash comes
 from prefix sums of ``(byte + 1) * P**i`` (mod 2**64), so no Python string is
 made per word.  Work goes in slices of whole documents of about ``SLICE``
-bytes, which bounds memory; a single longer document is one slice.
+bytes, and the sums over no more bytes at a time, so that a longer document,
+which is a slice by itself, takes some 25 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -90,8 +91,8 @@ def spans(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nd
     return s, e, np.searchsorted(s, off)
 
 
-def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes."""
+def _sums(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Sum of ``(byte + 1) * P**i`` of each span of bytes, i from its start."""
     p, inv = powers(len(data) + 1)
     c = np.empty(len(data) + 1, U)
     c[0] = 0
@@ -102,7 +103,27 @@ def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     h = c[e]
     h -= c[s]
     h *= inv[s]
-    return mix(h)
+    return h
+
+
+def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes; spans are ascending.  Prefix sums are taken over about ``SLICE`` bytes at a time, also inside a longer span."""
+    out = np.empty(len(s), U)
+    i = 0
+    while i < len(s):
+        a = int(s[i])
+        j = max(i + 1, int(np.searchsorted(e, a + SLICE, "right")))
+        b = int(e[j - 1])
+        if b - a <= SLICE:
+            out[i:j] = _sums(data[a:b], s[i:j] - a, e[i:j] - a)
+        else:  # one long span
+            total = 0
+            for x in range(a, b, SLICE):
+                y = min(x + SLICE, b)
+                total += int(_sums(data[x:y], np.zeros(1, int), np.array([y - x]))[0]) * pow(P, x - a, 1 << 64)
+            out[i] = U(total & (2**64 - 1))
+        i = j
+    return mix(out)
 
 
 def hash_of(text: str | bytes) -> int:
