@@ -627,6 +627,14 @@ def test_mixing(spark, docs, sf, monkeypatch):
     assert ((take.k - take.t).abs() <= 0.05 * take.t).all()
 
 
+def test_mixing_of_rows_that_share_an_id(spark):
+    # a third of the rows has one id, a third has none; many of them alike
+    rng = random.Random(11)
+    rows = [(k if k % 3 else 7 if k % 2 else None, "w " * rng.choice([1, 1, 5, 30]), "en", rng.choice(["a", "a", "b", None])) for k in range(6000)]
+    df = frame(spark, rows).repartition(5)
+    same(mixing.mix(df).drop("source").toPandas(), on_duckdb(spark, mixing.oracle_sql(), documents=df.select("doc_id", "text", "source")))
+
+
 def test_small_sources_stay_beside_a_hot_one(spark):
     hot = [(k, "word " * 100, "en", "hot") for k in range(1000)]
     small = [(5000 + 100 * s + k, "one two three", "en", f"small{s}") for s, n in enumerate((10, 1, 50)) for k in range(n)]

@@ -12,7 +12,9 @@ ones, at most ``FINE`` of the smallest target, so every source with a target of
 a document takes part.
 
 A source has a shard for each ``SHARD_DOCS`` documents, so a hot source is
-dealt out evenly and no window holds more than about so many rows.  Only
+dealt out evenly, and a shard's window holds about as many rows; rows that share an
+id, a size and an input partition are one row of it, so a hot id is not gathered.
+Windows over all sources hold a row for each.  Only
 quotients near the boundary are ranked: with n parties and B seats Sainte-Laguë
 gives a party with share s of the seats at least s(1 - n/2B) - 1/2 of them and
 at most s(1 + n/2B) + 1/2, so seats below that range are given without ranking.
@@ -62,7 +64,8 @@ def seats(parties: DataFrame, group: list[str], votes: str, total: str, order: s
 
 def mix(docs: DataFrame, seed: str = SEED, fine: bool = False) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, source, size, source_size, target, taken."""
-    base = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    # where a row stands is written with it, so that it is the same in all that follows
+    base = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "mix-sizes")
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     # a row for each source from here: one window over them is small
     one = W.partitionBy(F.lit(0))
@@ -86,8 +89,13 @@ def mix(docs: DataFrame, seed: str = SEED, fine: bool = False) -> DataFrame:
     cells = seats(cells, ["rn"], "cell", "quota", "shard", "given")
     cells = cells.withColumn("words", F.least(F.col("given") * F.col("block"), REPEATS * F.col("cell"))).select("rn", "shard", "cell", "words")
     cells = cells.withColumn("full", F.when(F.col("cell") > 0, F.floor(F.col("words").cast("double") / F.col("cell"))).otherwise(0)).withColumn("rest", F.col("words") - F.col("full") * F.col("cell"))
-    before = F.sum("size").over(W.partitionBy("rn", "shard").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1))
-    out = rows.withColumn("before", F.coalesce(before, F.lit(0))).join(cells.select("rn", "shard", "full", "rest"), ["rn", "shard"])
+    # the words before a row in its shard: those before all rows of its key, size and input partition, and of that run the
+    # rows before it; so rows that share an id (or have none) are counted where they stand and never gathered in one task
+    run = ["rn", "shard", "key", "size", "part"]
+    runs = rows.groupBy(*run).agg((F.count("*") * F.col("size")).alias("run_words"))
+    runs = runs.withColumn("run_before", F.coalesce(F.sum("run_words").over(W.partitionBy("rn", "shard").orderBy("key", "size", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    runs = runs.join(cells.select("rn", "shard", "full", "rest"), ["rn", "shard"]).drop("run_words")
+    out = rows.withColumn("nth", F.row_number().over(W.partitionBy(*run).orderBy("place")) - 1).join(runs, run).withColumn("before", F.col("run_before") + F.col("nth") * F.col("size"))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + part).cast("long").alias("taken"))
 
