@@ -493,6 +493,72 @@ def test_quality_rules(spark, docs, texts, sf):
             assert any((x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == want and x.base_failed == failed and not (failed and x.kept) for x in got[r.doc_id])
 
 
+def plain_covering(rows, thresholds):
+    """Sequential covering over rows (low, grow, values by feature), from its definition: each step weighs every condition on all rows."""
+    side = lambda r, c: (r[2][c[0]] >= c[2]) == c[1]
+    prec = lambda p, n: (p + 0.5) / (p + n + 1)
+    rules, barred, left = [], set(), list(rows)
+    failed = 0
+    while len(rules) < quality_rules.MAX_RULES and failed < quality_rules.MAX_FAILED:
+        rule, own = [], left
+        steps = []
+        while len(rule) < quality_rules.MAX_CONDITIONS:
+            grow = [r for r in own if r[1]]
+            p, n = sum(r[0] for r in grow), sum(not r[0] for r in grow)
+            if not n:
+                break
+            best = None
+            for f, ts in thresholds.items():
+                below = lambda t, f=f: [r for r in grow if r[2][f] < t]
+                for k, t in enumerate(ts):
+                    b = below(t)
+                    q_b, m_b = sum(r[0] for r in b), sum(not r[0] for r in b)
+                    for at_least, q, m in ((True, p - q_b, n - m_b), (False, q_b, m_b)):
+                        if q >= quality_rules.MIN_COVER and (rule or (f, at_least) not in barred):
+                            gain = q * (math.log2(q / (q + m)) - math.log2(max(p, 1e-9) / (p + n)))
+                            if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                                best = (gain, (f, at_least, t))
+            if best is None:
+                break
+            rule.append(best[1])
+            own = [r for r in own if side(r, best[1])]
+            steps.append(own)
+        if not rule:
+            break
+        held = lambda x: (sum(r[0] for r in x if not r[1]), sum(not r[0] for r in x if not r[1]))
+        while len(rule) > 1:
+            (p0, n0), (p1, n1) = held(steps[-1]), held(steps[-2])
+            if (p1 - n1) / max(p1 + n1, 1) < (p0 - n0) / max(p0 + n0, 1) or prec(p1, n1) < quality_rules.PRECISION:
+                break
+            rule.pop()
+            steps.pop()
+        p, n = sum(r[0] for r in steps[-1]), sum(not r[0] for r in steps[-1])
+        hp, hn = held(steps[-1])
+        if p < quality_rules.MIN_COVER or prec(p, n) < quality_rules.PRECISION or prec(hp, hn) < quality_rules.PRECISION:
+            barred.add(rule[0][:2])
+            failed += 1
+            continue
+        rules.append(rule)
+        covered = {id(r) for r in steps[-1]}
+        left, barred = [r for r in left if id(r) not in covered], set()
+    return rules
+
+
+def test_kept_is_what_a_plain_covering_learner_keeps(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    seen = {}
+    learn = quality_rules.learn
+    monkeypatch.setattr(quality_rules, "learn", lambda h, t: seen.setdefault("rules", learn(h, seen.setdefault("thresholds", t))))
+    stats = quality_rules.written(quality_rules.statistics(queries.table(spark, sf, "documents")), "stats")
+    labels = queries.table(spark, sf, "labels")
+    rules = quality_rules.fit(stats, labels)
+    f = quality_rules.features()
+    rows = stats.where(~quality_rules.base_failed()).join(labels, "doc_id").where("quality is not null").select((F.col("quality") == 0).alias("low"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("grow"), F.struct(*(c.alias(k) for k, c in f.items())).alias("f")).collect()
+    assert rules == plain_covering([(r.low, r.grow, r.f.asDict()) for r in rows], seen["thresholds"])
+    kept = {r.doc_id: r for r in stats.select("doc_id", quality_rules.verdict(rules).alias("kept"), F.struct(*(c.alias(k) for k, c in f.items())).alias("f")).collect()}
+    assert rules and all(r.kept == (not any(all((r.f[k] >= t) == side for k, side, t in rule) for rule in rules)) for r in kept.values())
+
+
 def test_decision_list():
     cells = [quality_rules.Cell({"f": b, "g": k % 2}, k % 3 > 0, 10 if b else 0, 0 if b else 10) for k, b in enumerate([0, 1, 0, 1, 0, 1])]
     assert quality_rules.learn_list(cells, {"f": [0.5], "g": [1.0]}) == [[("f", True, 0.5)]]
