@@ -50,6 +50,8 @@ PIECE, TRAINER, ROUNDS, FAN = 16384, 3_000_000, 2, 16
 #: Of a trainer: lanes, first rate, tokens trained on at a time.
 TASK_LANES, TASK_RATE, TASK_TOKENS = 256, 0.005, 1 << 18
 END, SPECIAL = 0, 1
+#: Logits are held within this on both sides, so that no softmax needs its maximum.
+BOUND = 60.0
 SLICE = 4 << 20
 FLUSH = 3_000_000
 
@@ -167,7 +169,7 @@ class Network:
 
     def step(self, h: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
         n = h.shape[1]
-        x = self.x[tokens]
+        x = self.x.take(tokens, 0)
         a = h @ self.u
         zr = _sigmoid(np.clip(x[:, : 2 * n] + a[:, : 2 * n], -20, 20))
         z, r = zr[:, :n], zr[:, n:]
@@ -177,17 +179,15 @@ class Network:
     def log_probs(self, h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Natural logarithm of each token's probability in its state: class, then word of the class."""
         cls = class_of(tokens)
-        logits = h @ self.wc + self.bc
-        top = logits.max(1)
-        out = logits[np.arange(len(cls)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        logits = np.clip(h @ self.wc + self.bc, -BOUND, BOUND)
+        out = logits[np.arange(len(cls)), cls] - np.log(np.exp(logits) @ np.ones(len(self.bc), h.dtype))
         order, cut = by_class(cls, len(self.bc))
-        hs, ws, inner = h[order], ((tokens - SPECIAL) % CLASS)[order], np.zeros(len(order), h.dtype)
+        hs, ws, inner, one = h[order], ((tokens - SPECIAL) % CLASS)[order], np.zeros(len(order), h.dtype), np.ones(CLASS, h.dtype)
         for k in range(len(self.bc) - SPECIAL):
             a, b = cut[k], cut[k + 1]
             if a < b:
-                lg = hs[a:b] @ self.ww[k] + self.bw[k]
-                lg -= lg.max(1, keepdims=True)
-                inner[a:b] = lg[np.arange(b - a), ws[a:b]] - np.log(np.exp(lg).sum(1))
+                lg = np.clip(hs[a:b] @ self.ww[k] + self.bw[k], -BOUND, BOUND)
+                inner[a:b] = lg[np.arange(b - a), ws[a:b]] - np.log(np.exp(lg) @ one)
         out[order] += inner
         return out
 
@@ -198,6 +198,7 @@ def class_of(tokens: np.ndarray) -> np.ndarray:
 
 def by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[int]]:
     """Order of tokens by class, and where the first token of each class of words stands in it."""
+    cls = cls.astype(np.int16)
     order = np.argsort(cls, kind="stable")
     return order, np.searchsorted(cls[order], np.arange(SPECIAL, classes + 1)).tolist()
 
@@ -217,33 +218,30 @@ def new_network(counts: np.ndarray, ends: int, hidden: int = HIDDEN) -> Network:
 
 def gradients(net: Network, prev: np.ndarray, target: np.ndarray, h: np.ndarray, fresh: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Of a window's mean loss, truncated at its start; and the state at its end.  prev, target, fresh: steps x lanes."""
-    steps, n = len(prev), h.shape[1]
-    kept, hs = [], []
+    (steps, lanes), n = prev.shape, h.shape[1]
+    before, zs, rs, cs, rec, hs = (np.empty((steps, lanes, n), h.dtype) for _ in range(6))
+    live = (~fresh).astype(h.dtype)[:, :, None]
     for t in range(steps):
-        h0 = h * ~fresh[t][:, None]
-        h, z, r, c, a = net.step(h0, prev[t])
-        kept.append((h0, z, r, c, a))
-        hs.append(h)
-    flat, tok = np.concatenate(hs), target.ravel()
+        before[t] = h * live[t]
+        h, zs[t], rs[t], cs[t], rec[t] = net.step(before[t], prev[t])
+        hs[t] = h
+    flat, tok = hs.reshape(-1, n), target.ravel()
     m = len(tok)
     cls = class_of(tok)
-    logits = flat @ net.wc + net.bc
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
+    p = np.exp(np.clip(flat @ net.wc + net.bc, -BOUND, BOUND))
+    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
     loss = -np.log(p[np.arange(m), cls] + 1e-30).sum()
     p[np.arange(m), cls] -= 1
     p /= m
     dwc, dbc, dflat = flat.T @ p, p.sum(0), p @ net.wc.T
     dww, dbw = np.zeros_like(net.ww), np.zeros_like(net.bw)
     order, cut = by_class(cls, len(net.bc))
-    fs, ws, ds = flat[order], ((tok - SPECIAL) % CLASS)[order], dflat[order]
+    fs, ws, ds, one = flat[order], ((tok - SPECIAL) % CLASS)[order], dflat[order], np.ones(CLASS, flat.dtype)
     for k in range(len(net.bc) - SPECIAL):
         a, b = cut[k], cut[k + 1]
         if a < b:
-            q = fs[a:b] @ net.ww[k] + net.bw[k]
-            q -= q.max(1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(1, keepdims=True)
+            q = np.exp(np.clip(fs[a:b] @ net.ww[k] + net.bw[k], -BOUND, BOUND))
+            q /= (q @ one)[:, None]
             own = np.arange(b - a)
             loss -= np.log(q[own, ws[a:b]] + 1e-30).sum()
             q[own, ws[a:b]] -= 1
@@ -251,22 +249,27 @@ def gradients(net: Network, prev: np.ndarray, target: np.ndarray, h: np.ndarray,
             dww[k], dbw[k] = fs[a:b].T @ q, q.sum(0)
             ds[a:b] += q @ net.ww[k].T
     dflat[order] = ds
-    dhs = dflat.reshape(steps, -1, n)
-    dh = np.zeros_like(h)
-    dgates, das = [None] * steps, [None] * steps
+    dhs = dflat.reshape(steps, lanes, n)
+    # what a gate's gradient is for a unit of the state's, for all steps at once
+    by_z, by_c, by_r = (before - cs) * zs * (1 - zs), (1 - zs) * (1 - cs * cs), rec * rs * (1 - rs)
+    das, dcs = np.empty((steps, lanes, 3 * n), h.dtype), np.empty((steps, lanes, n), h.dtype)
+    dh, ut = np.zeros_like(h), np.ascontiguousarray(net.u.T)
     for t in reversed(range(steps)):
-        h0, z, r, c, a = kept[t]
-        dh = dh + dhs[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (h0 - c) * z * (1 - z)
-        dr = dc * a * r * (1 - r)
-        dgates[t], das[t] = np.concatenate([dz, dr, dc], 1), np.concatenate([dz, dr, dc * r], 1)
-        dh = (dh * z + das[t] @ net.u.T) * ~fresh[t][:, None]
-    du = np.concatenate([k[0] for k in kept]).T @ np.concatenate(das)
+        dh += dhs[t]
+        np.multiply(dh, by_z[t], out=das[t, :, :n])
+        np.multiply(dh, by_c[t], out=dcs[t])
+        np.multiply(dcs[t], by_r[t], out=das[t, :, n : 2 * n])
+        np.multiply(dcs[t], rs[t], out=das[t, :, 2 * n :])
+        dh *= zs[t]
+        dh += das[t] @ ut
+        dh *= live[t]
+    das = das.reshape(-1, 3 * n)
+    du = before.reshape(-1, n).T @ das
+    das[:, 2 * n :] = dcs.reshape(-1, n)  # inputs reach the candidate past the reset gate
     dx = np.zeros_like(net.x)
-    order = np.argsort(prev.ravel(), kind="stable")
+    order = np.argsort(prev.ravel().astype(np.uint16), kind="stable")
     begin = np.flatnonzero(np.diff(prev.ravel()[order], prepend=-1))
-    dx[prev.ravel()[order[begin]]] = np.add.reduceat(np.concatenate(dgates)[order], begin)
+    dx[prev.ravel()[order[begin]]] = np.add.reduceat(das[order], begin)
     return [dx, du, dwc, dbc, dww, dbw], h, float(loss) / m
 
 
