@@ -680,6 +680,20 @@ def same(a, b):
     assert [str(x) for x in rows(a)] == [str(x) for x in rows(b)]
 
 
+def test_sql_says_the_same(spark, docs, sf):
+    labels = queries.table(spark, SF, "labels")
+    for df in (docs.where("doc_id is null or length(text) < 40000"), sf):  # SQL is slow on the longest
+        d = df.select("doc_id", "text")
+        key = lambda x: x.fillna(-1).astype({c: "int64" for c in x.columns if x[c].dtype.kind in "fb"}).sort_values(sorted(x.columns)).reset_index(drop=True)[sorted(x.columns)]
+        for got, sql in (
+            (ngram_join.ngram_components(df), queries.NGRAM_SQL),
+            (license_scan.license_scan(df).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"), queries.LICENSE_SQL),
+            (quality_rules.quality_rules(df, labels).select("doc_id", *quality_rules.BASE, "base_failed"), queries.QUALITY_SQL),
+        ):
+            a, b = key(got.toPandas()), key(on_duckdb(spark, sql, documents=d))
+            assert a.astype(str).equals(b.astype(str)), a.compare(b)
+
+
 def test_mixing(spark, docs, sf, monkeypatch):
     for shard in (4096, 16):
         monkeypatch.setattr(mixing, "SHARD_DOCS", shard)
