@@ -42,7 +42,7 @@ from .store import shuffle_partitions, written
 
 U = np.uint64
 #: Words whose counts every task holds; endings of other words; words of the network; words of a class; hidden units.
-FREQUENT, BUCKETS, VOCABULARY, CLASS, HIDDEN = 65536, 64, 4032, 64, 24
+FREQUENT, BUCKETS, VOCABULARY, CLASS, HIDDEN = 65536, 64, 4032, 64, 16
 #: Tokens (about) that the network starts from; passes over them; lanes and steps of a window.
 SAMPLE, EPOCHS, LANES, WINDOW = 300_000, 2, 64, 32
 #: Tokens of a piece, of a trainer (about); rounds of training and averaging; networks averaged at a time.
@@ -52,7 +52,7 @@ TASK_LANES, TASK_RATE, TASK_TOKENS = 256, 0.005, 1 << 18
 END, SPECIAL = 0, 1
 #: Logits are held within this on both sides, so that no softmax needs its maximum.
 BOUND = 60.0
-SLICE = 4 << 20
+SLICE = 12 << 20
 FLUSH = 3_000_000
 
 
