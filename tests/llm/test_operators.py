@@ -657,6 +657,24 @@ def test_toxicity_is_kneser_ney():
             assert math.isclose(toxicity.measure(h, np.array([0, len(h)]), m)[0], np.mean(sorted(want, reverse=True)[: toxicity.TELLING]))
 
 
+def test_toxicity_measures_whole_texts():
+    rng = random.Random(13)
+    vocab = [f"w{k}" for k in range(40)]
+    classes = [[[rng.choice(vocab[a : a + 30]) for _ in range(rng.randrange(5, 40))] for _ in range(20)] for a in (0, 10)]
+    hashed = lambda t: np.array([tb.hash_of(w) for w in t], np.uint64)
+    held = [hashed(t) for c in classes for t in c]
+    m = toxicity.build(*([hashed(t) for t in c] for c in classes), held, [1] * 20 + [0] * 20, 0.5)
+    assert m.share in toxicity.SHARES and np.allclose((m.share * m.p[:, 0] + (1 - m.share) * m.p[:, 1]).sum(), 1)
+    texts = [["w1"], [], ["w1", "w2", *vocab[30:]], ["w1", "w2", *vocab[30:] * 5], vocab]
+    for share in (1.0, m.share):
+        m.share = share
+        got = toxicity.measure(*toxicity.joined([hashed(t) for t in texts]), m)
+        for t, x in zip(texts, got, strict=True):
+            want = [math.log(1 - share + share * math.exp(r)) for r in brute_kneser_ney(classes, t)]
+            assert math.isclose(x, sum(want) / len(t) if t else 0, rel_tol=1e-6, abs_tol=1e-12)
+        assert got[2] > got[3]  # every word counts, not the most toxic ones alone
+
+
 def test_toxicity_sample_is_bounded(spark):
     # one id, labelled toxic, has most of the rows: many texts, and one of them many times
     corpus = toxic_corpus(600)

@@ -8,9 +8,13 @@ once for each class that has it (a continuation count with classes as contexts).
 smoothed to nearly the same probability in both, and a frequent expression of one class is not given back to the other.
 A level of pairs of words above these lost toxic texts when tried (README), as a pair is nearly always new.
 
-A text's measure is a log-likelihood ratio normalised by length: the mean ratio of the ``TELLING`` words of the text
-that speak most for toxicity, as a mean over all words of a long text would drown a few.  A logistic map of that one
-number, fitted on labelled texts that the models have not seen, gives the probability of the toxic label.
+A text's measure is the log-likelihood ratio of the whole text, divided by its number of words; no word is left out.
+A toxic text has mostly ordinary words, so its model is an interpolation too: a share of the toxic class's model and the
+rest of the ordinary one's, against the ordinary one's alone.  A word that one class happens to show a little more
+often, as those of a language do, so moves the ratio by no more than that share, and a hundred of them do not drown two
+toxic ones, as they do with a share of 1 (README).  A logistic map of that one number, fitted on labelled texts that the
+models have not seen, gives the probability of the toxic label; the share (of ``SHARES``) is the one under which those
+labels are likeliest.
 
 Learning takes a bounded sample of the labelled rows (about ``SAMPLE`` texts of each class for the models and
 ``CALIBRATION`` for the map, of at most ``LONGEST`` bytes each); the map's constant is then set for the classes' shares
@@ -27,7 +31,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,10 @@ from . import textbatch as tb
 
 #: Bounds on the labelled sample: texts of each class for the models, and for the map, and bytes of such a text.
 SAMPLE, CALIBRATION, LONGEST = 2500, 2500, 1 << 20
-#: Words whose mean ratio is a text's measure.
-TELLING = 2
+#: Words whose mean ratio is a text's measure, as the end of a slice: all of them.  Read by a test only.
+TELLING = None
+#: Shares of the toxic class's model in a toxic text's, to choose from.
+SHARES = 2.0 ** -np.arange(11)
 THRESHOLD = 0.3
 #: A word is ASCII letters, digits or bytes of other characters, lower-cased; so "scum!!" is "scum".
 IS_WORD = tb.ALNUM
@@ -76,12 +82,13 @@ def continuations(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Sorted words of both classes, and the toxic and the ordinary class's probability of each; the last row is of unknown words."""
+    """Sorted words of both classes, and the toxic and the ordinary class's probability of each; the last row is of unknown words.  ``share`` is that of the toxic class's model in a toxic text's."""
 
     words: np.ndarray
     p: np.ndarray
     weights: np.ndarray
     prior: float
+    share: float = 1.0
 
     @property
     def fitted(self) -> bool:
@@ -101,28 +108,31 @@ def language_models(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> tupl
     return words, p
 
 
+def gains(m: Model) -> np.ndarray:
+    """Log-likelihood ratio of each word of the model, and of unknown ones."""
+    return np.log(m.share * m.p[:, 0] + (1 - m.share) * m.p[:, 1]) - np.log(m.p[:, 1])
+
+
 def ratios(h: np.ndarray, m: Model) -> np.ndarray:
     """Log-likelihood ratio of each word."""
-    log = np.log(m.p)
-    return (log[:, 0] - log[:, 1])[tb.lookup(m.words, h)]  # -1, the last row, for unknown words
+    return gains(m)[tb.lookup(m.words, h)]  # -1, the last row, for unknown words
 
 
-def measure(h: np.ndarray, first: np.ndarray, m: Model) -> np.ndarray:
-    """Of each text: the mean ratio of its ``TELLING`` most toxic words (of all, if fewer); 0 without words."""
+def means(r: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each text: the sum over all its words, divided by their number; 0 without words."""
     n = np.diff(first)
-    out = np.zeros(len(n))
-    if not len(h):
-        return out
-    doc = np.repeat(np.arange(len(n)), n)
-    r = ratios(h, m)
-    order = np.lexsort((-r, doc))
-    taken = np.arange(len(h)) - first[:-1][doc] < TELLING
-    return np.bincount(doc[taken], weights=r[order][taken], minlength=len(n)) / np.maximum(np.minimum(n, TELLING), 1)
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Constant and slope by Newton's method with a slight ridge."""
-    x = np.stack([np.ones(len(x)), x], 1)
+    return np.bincount(np.repeat(np.arange(len(n)), n), weights=r, minlength=len(n)) / np.maximum(n, 1)
+
+
+def measure(h: np.ndarray, first: np.ndarray, m: Model) -> np.ndarray:
+    """Of each text: the log-likelihood ratio of the whole of it, normalised by its length."""
+    return means(ratios(h, m), first)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Constant and slope by Newton's method with a slight ridge on x in units of its deviation, and the labels' log-likelihood."""
+    unit = x.std() or 1.0
+    x = np.stack([np.ones(len(x)), x / unit], 1)
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -130,7 +140,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    z = x @ w
+    return w / [1, unit], float((y * z - np.logaddexp(0, z)).sum())
 
 
 def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +155,13 @@ def build(toxic: list[np.ndarray], ordinary: list[np.ndarray], held: list[np.nda
         return m
     m.words, m.p = language_models(toxic, ordinary)
     if m.fitted:
-        m.weights = logistic(measure(*joined(held), m), np.array(held_y, float))
+        h, first = joined(held)
+        at, y, best = tb.lookup(m.words, h), np.array(held_y, float), -np.inf
+        for share in SHARES:
+            tried = replace(m, share=share)
+            weights, fits = logistic(means(gains(tried)[at], first), y)
+            if fits > best:
+                best, m = fits, replace(tried, weights=weights)
         k = sum(held_y)
         m.weights[0] += np.log(prior / (1 - prior)) - np.log(k / (len(held_y) - k))  # from the sample's shares to the true ones
     return m
