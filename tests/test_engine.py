@@ -80,6 +80,23 @@ def test_pagerank_jobs_agree_with_kernel(spark):
     assert np.allclose([r.score for r in a.scores.orderBy("book_id").collect()], [r.score for r in b.scores.orderBy("book_id").collect()])
 
 
+def test_pagerank_in_parts_is_a_job_for_many_iterations(spark):
+    rng = np.random.default_rng(5)
+    pairs = {tuple(sorted(int(x) for x in p)) for p in rng.integers(0, 150, (400, 2)) if p[0] != p[1]}
+    n = spark.createDataFrame([(x * 7,) for x in range(200)], "book_id bigint")
+    e = spark.createDataFrame([(a * 7, b * 7, float(rng.uniform(0.05, 1))) for a, b in sorted(pairs)], "a bigint, b bigint, weight double")
+    one = pagerank.pagerank(n, e)
+    spark.sparkContext.setJobGroup("parts", "")
+    many = pagerank.pagerank(n, e, small=300)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("parts"))
+    spark.sparkContext.setJobGroup("others", "")
+    assert one.converged and many.converged and many.iterations == one.iterations > 2 * pagerank.STRIDE
+    assert jobs < one.iterations
+    assert np.allclose(one.deltas, many.deltas, rtol=1e-6, atol=1e-14)
+    rows = [{r.book_id: r.score for r in x.scores.collect()} for x in (one, many)]
+    assert len(rows[0]) == len(rows[1]) == 200 and all(abs(rows[0][k] - rows[1][k]) < 1e-12 for k in rows[0])
+
+
 def test_suggestions(spark):
     seeds = spark.createDataFrame([(1, "Seed A", 1, 1.0), (2, "Seed B", 2, 0.5)], "book_id bigint, title string, search_rank int, final_score double")
     edges = spark.createDataFrame([(1, 3, 0.6, 1, 1), (1, 4, 0.5, 1, 1), (1, 2, 0.95, 1, 1), (2, 3, 0.9, 1, 1), (2, 5, 0.4, 1, 1)], "a bigint, b bigint, score double, shared int, union_size int")
