@@ -35,6 +35,17 @@ def test_canonical_folds_all_of_unicode(spark):
     assert text.tokenize("ﬁnd ofﬁce ＡＢＣ 𝐀x") == ["find", "office", "abc", "ax"]
 
 
+def test_folding_reads_a_text_few_times(spark):
+    # each replacement and each search of a pattern is a pass over the text
+    from tomeweaver.plans import registry
+
+    plan = registry.fold_compatibility(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("replace(") < 50 and plan.count("rlike") <= 1
+    rows = [("ABC xyz ffi fi fl", None), ("Καλός ΟΔΟΣ", None), ("aÉ𝟎࢘b", None)]
+    for r in spark.createDataFrame(rows, "t string, u string").select("t", text.canonical(F.col("t")).alias("a")).collect():
+        assert r.a == text.canonical_text(r.t)
+
+
 
 def test_word_count(spark):
     assert spark.createDataFrame([("L'enfant sait écrire 123 maintenant",)], "t string").select(text.word_count(F.col("t"))).first()[0] == 4

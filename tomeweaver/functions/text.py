@@ -39,12 +39,17 @@ def canonical(text: Column) -> Column:
     plain = t
     for k, v in (SINGLE | MULTIPLE).items():
         plain = F.replace(plain, F.lit(k), F.lit(v))
-    # most texts need neither step, and a test for that is cheap
-    plain = F.when(t.rlike("[" + "".join(SINGLE | MULTIPLE) + "]"), plain).otherwise(t)
-    folded = F.regexp_replace(decomposed(plain), "\\p{M}+", "")
     ranges = "".join("\\x{" + r.replace("-", "}-\\x{") + "}" for r in NEW_MARKS)
-    folded = F.when(t.rlike(NEWER), F.regexp_replace(folded, f"[{ranges}]+", "")).otherwise(folded)
-    return F.lower(F.when(t.rlike("[^\\x00-\\x7F]"), folded).otherwise(t))
+    # most texts are plain by then, and a comparison of lengths tells so without reading them
+    newer = lambda x: F.when(_plain(x) | ~x.rlike(NEWER), x).otherwise(F.regexp_replace(x, f"[{ranges}]+", ""))
+    # an element of an array, so that the call of a method is made once and not anew for each use of its result
+    folded = F.transform(F.array(F.regexp_replace(decomposed(plain), "\\p{M}+", "")), newer)[0]
+    return F.lower(F.when(_plain(t), t).otherwise(folded))
+
+
+def _plain(text: Column) -> Column:
+    """Whether a text is ASCII."""
+    return F.octet_length(text) == F.length(text)
 
 
 def canonical_text(text: str | None) -> str:

@@ -109,8 +109,11 @@ FORMS = {"ffi": "ﬃ", "fi": "ﬁ", "fl": "ﬂ"} | {chr(0x61 + k): chr(0xFF41 +
 def fold_compatibility(spark, sf_dir):
     """Texts in which letters stand in other forms fold to what the plain texts fold to."""
     t = F.col("text")
-    for plain, form in FORMS.items():
-        t = F.replace(t, F.lit(plain), F.lit(form))
+    for plain in (k for k in FORMS if len(k) > 1):
+        t = F.replace(t, F.lit(plain), F.lit(FORMS[plain]))
+    # no form holds a letter that stands for another, so single letters change in one pass
+    single = {k: v for k, v in FORMS.items() if len(k) == 1}
+    t = F.translate(t, "".join(single), "".join(single.values()))
     return _texts(spark, sf_dir).select(F.col("id").alias("doc_id"), F.sha2(text.canonical(t), 256).alias("canonical_sha"))
 
 
