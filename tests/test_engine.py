@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tomeweaver.operators import index, pagerank, recommend, search, similarity
-from tomeweaver.plans import benchmark
+from tomeweaver.plans import benchmark, registry
 from tomeweaver.plans.engine import Engine, error_response
 from tomeweaver.plans.registry import oracle_sql, queries
 from tomeweaver.sources import catalog, corpus, store
@@ -25,6 +25,21 @@ def test_frequencies(spark):
     assert {r.term: r.document_frequency for r in index.document_frequency(posts).collect()} == {"dog": 2, "cafe": 1, "cat": 1}
 
 
+def test_stored_postings_are_dealt_out_by_size(spark, monkeypatch):
+    texts = [(1, "dog Dog cat"), (1, "dog's dog"), (None, "cat cat"), (None, "cat"), (2, None), (3, "élan-vital")]
+    b = spark.createDataFrame(texts, "id bigint, text string")
+    want = {(1, "dog", 3), (1, "cat", 1), (1, "dog's", 1), (None, "cat", 3), (3, "elan-vital", 1)}
+    once = b.where("id > 1")
+    for got, w in ((index.postings(b), want), (index.postings_by_term(b, 3), want), (index.postings_by_term(once, 3), {x for x in want if x[0] == 3})):
+        assert {tuple(r) for r in got.collect()} == w and got.count() == len(w)
+    monkeypatch.setattr(registry, "PART", 20_000)
+    monkeypatch.setattr(registry, "_STORED", {})
+    posts = registry.stored_postings(spark, SF)
+    assert len(posts.inputFiles()) > 2 * spark.sparkContext.defaultParallelism
+    where = posts.select("term", F.input_file_name().alias("f")).distinct().groupBy("term").count()
+    assert where.where("count > 1").isEmpty()
+
+
 def test_matches(spark):
     t = spark.createDataFrame([(x,) for x in ("cat", "cot", "scatter", "cut", "dog", "man", "gentleman", "catalogue")], "term string")
     terms = lambda c: sorted(r.term for r in t.where(c).collect())

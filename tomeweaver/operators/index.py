@@ -2,16 +2,61 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, canonical
 from ..sources.corpus import READY
 
+#: Postings that a batch between Python and the JVM holds, or those of one text.
+BATCH = 200_000
+
+
+def counted(books: DataFrame) -> DataFrame:
+    """books(id, text) -> book_id, term, occurrences in each row's text, counted where the text is read."""
+    kind = books.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        find = re.compile(TOKEN).findall
+        for b in batches:
+            ids, places, terms, counts = b.column("id"), [], [], []
+
+            def out():
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(places, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["book_id", "term", "occurrences"])
+
+            for i, text in enumerate(b.column("text")):
+                n = Counter(find(text.as_py()))
+                places += [i] * len(n)
+                terms += n.keys()
+                counts += n.values()
+                if len(terms) >= BATCH:
+                    yield out()
+                    places, terms, counts = [], [], []
+            if terms:
+                yield out()
+
+    return books.select("id", canonical(F.col("text")).alias("text")).mapInArrow(run, f"book_id {kind}, term string, occurrences int")
+
+
+def merged(counts: DataFrame) -> DataFrame:
+    """One row for a book and term, where several rows of texts have the same id."""
+    return counts.groupBy("book_id", "term").agg(F.sum("occurrences").cast("int").alias("occurrences"))
+
 
 def postings(books: DataFrame) -> DataFrame:
     """books(id, text) -> book_id, term, occurrences."""
-    return books.select(F.col("id").alias("book_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("book_id", "term").agg(F.count("*").cast("int").alias("occurrences"))
+    return merged(counted(books))
+
+
+def postings_by_term(books: DataFrame, parts: int) -> DataFrame:
+    """The same, dealt out by term over so many parts and sorted in each; only ids that repeat have their counts merged."""
+    dealt = counted(books).repartition(parts, "term")
+    once = books.groupBy("id").count().where("count > 1").isEmpty()
+    return (dealt if once else merged(dealt)).sortWithinPartitions("term")
 
 
 def failures(books: DataFrame, index: DataFrame) -> DataFrame:

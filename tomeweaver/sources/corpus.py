@@ -28,6 +28,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table, as the planner has them."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def books(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, lang) as books with their text."""
     label = F.lpad(F.col("doc_id").cast("string"), 7, "0")
