@@ -232,6 +232,38 @@ def test_catalogue_generate_and_sync(spark, tmp_path):
     assert e.catalog_status(path) == {"entries": 2, "ready_books": 2, "indexed_books": 0}
 
 
+def test_pairs_are_counted_in_bounded_parts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    ids = [int(x) for x in [-(1 << 62), (1 << 62) + 1, 0, *rng.integers(-(1 << 61), 1 << 61, 37)]]
+    terms = {b: {int(t) for t in rng.integers(0, 60, rng.choice([1, 4, 30]))} for b in ids}
+    rows = [(b, f"term{t}") for b in ids for t in terms[b]] + [(None, "term1"), (None, "term2")]
+    features = spark.createDataFrame(rows, "book_id bigint, term string")
+    monkeypatch.setattr(similarity, "PART", 100)
+    monkeypatch.setattr(similarity, "BATCH", 50)
+    seen, count = [], similarity._counts
+
+    def watched(*args):
+        sizes = spark.sparkContext.accumulator(0)
+        seen.append(sizes)
+
+        def run(t):
+            sizes.add(1)
+            return count(*args)(t)
+
+        return run
+
+    monkeypatch.setattr(similarity, "_counts", watched)
+    shared = {(a, b): len(terms[a] & terms[b]) for a in ids for b in ids if a < b}
+    for least in (0.0, 0.05, 0.2):
+        got = {(r.a, r.b): r for r in similarity.qualifying_pairs(features, 2, least).collect()}
+        want = {k: n for k, n in shared.items() if n >= 2 and n / len(terms[k[0]] | terms[k[1]]) >= least}
+        assert {k: r.shared for k, r in got.items()} == want
+        assert all(r.union_size == len(terms[a] | terms[b]) and r.score == r.shared / r.union_size for (a, b), r in got.items())
+    assert len(seen) == 3 and all(x.value > 10 for x in seen)
+    assert {(r.a, r.b): r.shared for r in similarity.pair_intersections(features).collect()} == {k: n for k, n in shared.items() if n >= 2}
+    assert similarity.pair_intersections(features.where("term = 'none'")).isEmpty()
+
+
 def test_graph_of_bounded_pairs_is_the_graph_of_all(spark):
     import random
 

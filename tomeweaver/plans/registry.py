@@ -63,8 +63,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = written(_features(spark, sf_dir), "features")
-    return similarity.scored_pairs(similarity.pair_intersections(f), similarity.feature_counts(f))
+    return similarity.qualifying_pairs(_features(spark, sf_dir))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
