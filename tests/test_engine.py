@@ -25,6 +25,16 @@ def test_frequencies(spark):
     assert {r.term: r.document_frequency for r in index.document_frequency(posts).collect()} == {"dog": 2, "cafe": 1, "cat": 1}
 
 
+def test_term_changes_meet_in_one_shuffle(spark):
+    key = ["book_id", "term"]
+    old = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1), (None, "n", 1), (3, "c", 1), (3, "c", 1), (4, None, 1)], "book_id bigint, term string, occurrences int")
+    new = spark.createDataFrame([(1, "a", 5), (1, "c", 1), (2, "a", 1), (None, "n", 1), (5, "x", 1), (4, None, 1)], "book_id bigint, term string, occurrences int")
+    want = [(*r, "added") for r in new.join(old, key, "left_anti").select(*key).collect()] + [(*r, "removed") for r in old.join(new, key, "left_anti").select(*key).collect()]
+    got = index.term_changes(old, new)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want)) and len(want) == 9
+    assert "Join" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_stored_postings_are_dealt_out_by_size(spark, monkeypatch):
     texts = [(1, "dog Dog cat"), (1, "dog's dog"), (None, "cat cat"), (None, "cat"), (2, None), (3, "élan-vital")]
     b = spark.createDataFrame(texts, "id bigint, text string")

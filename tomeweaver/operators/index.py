@@ -76,10 +76,13 @@ def changed_frequency(frequency: DataFrame, added: DataFrame, removed: DataFrame
 
 
 def term_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Postings only in new (added) or only in old (removed): book_id, term, change."""
-    key = ["book_id", "term"]
-    added = new.join(old, key, "left_anti").select(*key, F.lit("added").alias("change"))
-    return added.unionAll(old.join(new, key, "left_anti").select(*key, F.lit("removed").alias("change")))
+    """Postings only in new (added) or only in old (removed): book_id, term, change.  Both meet in one shuffle; a null id equals none."""
+    sides = new.select("book_id", "term", F.lit("added").alias("change")).unionAll(old.select("book_id", "term", F.lit("removed")))
+    met = sides.groupBy("book_id", "term").agg(F.count_if(F.col("change") == "added").alias("new"), F.count_if(F.col("change") == "removed").alias("old"))
+    loose = F.col("book_id").isNull() | F.col("term").isNull()
+    # as many rows as a join that keeps each side's rows without a partner would leave
+    added, removed = (F.when(loose | (F.col(other) == 0), F.array_repeat(F.lit(change), F.col(side).cast("int"))).otherwise(F.array()) for change, side, other in (("added", "new", "old"), ("removed", "old", "new")))
+    return met.select("book_id", "term", F.explode(F.concat(added, removed)).alias("change"))
 
 
 def reindexed(index: DataFrame, books: DataFrame) -> DataFrame:
